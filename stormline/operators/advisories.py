@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stormline.functions.clock import DAY, HOUR, hours_between, micros, stamp
+from stormline.functions.numbers import round_half_even
 from stormline.operators.panel import DEPTH
 from stormline.operators.spans import fold_spans, match_spans
 
@@ -61,11 +62,11 @@ def waterbody_summary(params: DataFrame, episodes: DataFrame, reliable: DataFram
         params.join(reliable, "sensor_id").join(per_body, "waterbody", "left")
         .select(
             "waterbody", F.col("sensor_id").alias("gauge"), F.col("wq_threshold_in").alias("threshold_in"),
-            F.bround(F.try_divide(n, years), 1).alias("episodes_per_yr"),
-            F.bround(F.try_divide(hours, years), 0).cast("long").alias("adv_hours_per_yr"),
-            F.bround(F.try_divide(F.lit(100.0) * hours, F.col("reliable_hours").cast("double")), 1)
+            round_half_even(F.try_divide(n, years), 1).alias("episodes_per_yr"),
+            round_half_even(F.try_divide(hours, years), 0).cast("long").alias("adv_hours_per_yr"),
+            round_half_even(F.try_divide(F.lit(100.0) * hours, F.col("reliable_hours").cast("double")), 1)
             .alias("pct_time"),
-            F.bround(F.coalesce("_median", F.lit(0.0)), 0).cast("long").alias("median_dur_hr"),
+            round_half_even(F.coalesce("_median", F.lit(0.0)), 0).cast("long").alias("median_dur_hr"),
         )
         .orderBy(F.desc("pct_time"), "waterbody")
     )
@@ -84,7 +85,7 @@ def published(advisory_log: DataFrame) -> DataFrame:
         F.min(F.struct("poll_time_utc", "duration_hr")).alias("_first"))
     return first.select(
         "waterbody", "occurred_on", F.col("_first.duration_hr").alias("duration_hr"),
-        stamp(micros("occurred_on") + (F.col("_first.duration_hr") * F.lit(HOUR)).cast("long"))
+        stamp(micros("occurred_on") + F.round(F.col("_first.duration_hr") * F.lit(HOUR)).cast("long"))
         .alias("published_until"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stormline.functions.numbers import round_half_even
 from stormline.operators.params import COEFFICIENTS
 from stormline.operators.storms import CSO_GAP_HOURS, storm_state
 
@@ -73,7 +74,7 @@ def scores(predicted: DataFrame) -> DataFrame:
     columns = [F.count(F.lit(1)).alias("n_observations"), F.countDistinct("waterbody").alias("n_waterbodies")]
     for name in ("quadratic_depth_peak", "poly5_depth"):
         r2, rmse = r2_and_rmse(F.col(f"pred_{name}"), F.col("volume"))
-        columns += [F.bround(r2, 4).alias(f"{name}_r2"), F.bround(rmse, 4).alias(f"{name}_rmse")]
+        columns += [round_half_even(r2, 4).alias(f"{name}_r2"), round_half_even(rmse, 4).alias(f"{name}_rmse")]
     return predicted.agg(*columns)
 
 

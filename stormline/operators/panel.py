@@ -192,10 +192,10 @@ def _trailing_sums(haloed: DataFrame, window: int) -> DataFrame:
     )
 
     def moving(name: str) -> Column:
-        value = F.col(name).cast(DEPTH)
+        value = F.col(name).cast(MEDIAN)
         signed = F.when(F.col("_sign") == enter, value).otherwise(-value)
         present = F.when(F.col(name).isNotNull(), F.col("_sign")).otherwise(F.lit(0))
-        total = F.sum(F.coalesce(signed, F.lit(0).cast(DEPTH))).over(running)
+        total = F.sum(F.coalesce(signed, F.lit(0).cast(MEDIAN))).over(running).cast(MEDIAN)
         return F.when(F.sum(present).over(running) > 0, total)
 
     return (

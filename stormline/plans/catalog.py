@@ -456,7 +456,7 @@ def volume_class(spark, d):
 @query
 def status_progress(spark, d):
     share = status.progress_percent(F.col("duration_hr"), F.col("advisory_type"))
-    return A.advisory_log(spark, d).select("poll_id", F.round(share, 4).alias("progress"))
+    return A.advisory_log(spark, d).select("poll_id", F.round(share, 8).alias("progress"))
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stormline.functions.clock import tolerant_timestamp
+from stormline.functions.numbers import round_half_even
 from stormline.operators.ingest import record_key
 from stormline.operators.params import advisory_type, coefficient
 from stormline.schemas import ADVISORY_OBJECT, SENSOR_OBJECT, WATERBODY_OBJECT
@@ -14,7 +15,7 @@ LIST_KEYS = ["items", "results", "data", "records", "values"]
 
 
 def rain_or_zero(value: Column) -> Column:
-    return F.bround(F.coalesce(value, F.lit(0.0)), 4)
+    return round_half_even(F.coalesce(value, F.lit(0.0)), 4)
 
 
 def provisional(rain: Column, threshold: Column) -> Column:
