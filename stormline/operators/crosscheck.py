@@ -51,12 +51,16 @@ def filings_near_onset(filings: DataFrame, episodes: DataFrame, hours: int = 24)
 
 def match_shares(filings: DataFrame, episodes: DataFrame, hours: int = 24) -> DataFrame:
     """One row: filings, those in an advisory, those near an onset, and both shares."""
-    active = filings_active(filings, episodes).agg(F.count(F.lit(1)))
-    near = filings_near_onset(filings, episodes, hours).agg(F.count(F.lit(1)))
-    return filings.agg(F.count(F.lit(1)).alias("filings")).select(
-        "filings", active.scalar().alias("active"), near.scalar().alias("near_onset")
-    ).select("*", F.try_divide("active", "filings").alias("active_share"),
-             F.try_divide("near_onset", "filings").alias("near_onset_share"))
+    # The spans are disjoint, so a left join keeps one row per filing.
+    times = filings.select(micros("start_dt").alias("_f"))
+    active = active_spans(episodes).withColumn("_active", F.lit(True))
+    near = onset_spans(episodes, hours).withColumn("_near", F.lit(True))
+    flagged = match_spans(times, "_f", active, how="left").select("_f", "_active")
+    flagged = match_spans(flagged, "_f", near, how="left")
+    counts = flagged.agg(
+        F.count(F.lit(1)).alias("filings"), F.count("_active").alias("active"), F.count("_near").alias("near_onset"))
+    return counts.select("*", F.try_divide("active", "filings").alias("active_share"),
+                         F.try_divide("near_onset", "filings").alias("near_onset_share"))
 
 
 def onset_clusters(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stormline.functions.numbers import round_half_even
 from stormline.operators.params import COEFFICIENTS
 from stormline.operators.storms import CSO_GAP_HOURS, storm_state
+from stormline.session import pinned
 
 MIN_REFIT_POINTS = 7
 
@@ -100,8 +101,10 @@ def refit(states: DataFrame, min_points: int = MIN_REFIT_POINTS) -> DataFrame:
 
     The normal equations are plain sums, combined before the shuffle, so a waterbody of
     any size costs one small row. Only the 6 x 6 solve runs in Python. Residuals are
-    taken in a second pass and not from the sums, which would cancel.
+    taken in a second pass and not from the sums, which would cancel; the states are
+    written once for all passes.
     """
+    states = pinned(states)
     spread = states.groupBy("waterbody").agg(
         F.count(F.lit(1)).alias("_n"), F.min("depth").alias("_d0"), F.max("depth").alias("_d1"),
         F.min("peak").alias("_k0"), F.max("peak").alias("_k1"))
@@ -115,11 +118,9 @@ def refit(states: DataFrame, min_points: int = MIN_REFIT_POINTS) -> DataFrame:
         .select("waterbody", "volume", scaled("depth", "_d0", "_d1").alias("_d"),
                 scaled("peak", "_k0", "_k1").alias("_k"))
     )
-    parts = []
-    for shape, basis in SHAPES.items():
-        terms = basis(F.col("_d"), F.col("_k"))
-        parts.append(points.select("waterbody", "volume", F.lit(shape).alias("shape"), F.array(*terms).alias("_x")))
-    design = parts[0].unionByName(parts[1])
+    rows = [F.struct(F.lit(shape).alias("shape"), F.array(*basis(F.col("_d"), F.col("_k"))).alias("_x"))
+            for shape, basis in SHAPES.items()]
+    design = points.select("waterbody", "volume", F.inline(F.array(*rows)))
     x = [F.col("_x")[i] for i in range(6)]
     sums = design.groupBy("waterbody", "shape").agg(
         F.array(*[F.sum(x[i] * x[j]) for i in range(6) for j in range(6)]).alias("gram"),

@@ -120,6 +120,6 @@ def filing_coverage(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
         F.count_if(is_city(F.col("county"), F.col("facility"))).alias("city_rows"),
         F.min("start_dt").alias("first_start"), F.max("start_dt").alias("last_start"),
         F.try_divide(F.count("duration_hours"), F.count("duration")).alias("duration_share"))
-    # Two one-row results side by side.
-    return start.select(
-        "*", *[kept.select(c).scalar().alias(c) for c in kept.columns])
+    # Two one-row results put side by side; each column is filled in one of them.
+    both = start.unionByName(kept, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in [*start.columns, *kept.columns]])

@@ -27,8 +27,13 @@ def first_seen(batch: DataFrame, key: str = "id", order: Sequence[str] = ()) ->
 
 
 def fresh_rows(history: DataFrame, batch: DataFrame, key: str = "id", order: Sequence[str] = ()) -> DataFrame:
-    """Rows of the batch whose key the history lacks."""
-    return first_seen(batch, key, order).join(history.select(key), key, "left_anti")
+    """Rows of the batch whose key the history lacks.
+
+    The history is first cut to the keys of the batch. A batch small enough to be
+    broadcast then leaves the history unshuffled, however large it is.
+    """
+    known = history.select(key).join(batch.select(key), key, "left_semi")
+    return first_seen(batch, key, order).join(known, key, "left_anti")
 
 
 def history_merge(history: DataFrame, batch: DataFrame, key: str = "id", order: Sequence[str] = ()) -> DataFrame:

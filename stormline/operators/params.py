@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from stormline.functions.clock import micros
+from stormline.functions.clock import DAY, micros
 from stormline.operators.spans import with_previous
 from stormline.schemas import WATERBODY_OBJECT
 
@@ -93,13 +93,27 @@ def config_changes(
 ) -> DataFrame:
     """Snapshots whose canonical content differs from the one before it.
 
-    Expects ``poll_time_utc`` and ``payload``; the payload stays out of the ordering.
+    Expects ``poll_time_utc`` and ``payload``.
     """
-    hashed = snapshots.withColumn("config_hash", canonical_hash(F.col("payload"), schema)).withColumn(
-        "_t", micros("poll_time_utc"))
-    compared = with_previous(hashed, keys, ["_t", *order], "_t", ["config_hash"])
-    return compared.where(~F.col("config_hash").eqNullSafe(F.col("prev_config_hash"))).drop(
-        "_t", "prev_config_hash")
+    hashed = snapshots.withColumn("config_hash", canonical_hash(F.col("payload"), schema))
+    return hash_changes(hashed, keys, None, order)
+
+
+def hash_changes(
+    hashed: DataFrame, keys: Sequence[str], before: DataFrame | None = None, order: Sequence[str] = (),
+) -> DataFrame:
+    """Rows whose ``config_hash`` differs from the row before, per key and by poll time.
+
+    ``before`` holds the last ``poll_time_utc`` and ``config_hash`` seen per key.
+    """
+    rows = hashed.withColumn("_new", F.lit(True))
+    if before is not None:
+        rows = rows.unionByName(before.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    rows = rows.withColumn("_t", micros("poll_time_utc"))
+    compared = with_previous(rows, keys, ["_t", "_new", *order], "_t", ["config_hash"], cell_length=DAY)
+    return compared.where(
+        F.col("_new") & ~F.col("config_hash").eqNullSafe(F.col("prev_config_hash"))
+    ).drop("_t", "_new", "prev_config_hash")
 
 
 def param_drift(old: DataFrame, new: DataFrame, key: str = "wbid", labels: tuple[str, str] = ("old", "new")) -> DataFrame:

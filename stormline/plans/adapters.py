@@ -32,7 +32,11 @@ def _inches(value: str) -> Column:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return as_readings(table(spark, sf_dir, "events"))
+
+
+def as_readings(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").cast("string").alias("id"), _named("G", "user_id").alias("sensor_id"),
         F.date_trunc("hour", "ts").cast("timestamp").alias("occurred_on"), _inches("value").alias("precip_in"))
 
@@ -67,10 +71,14 @@ def waterbody_log(spark: SparkSession, sf_dir: str, gauge: str = "G") -> DataFra
 
 
 def advisory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_advisories(table(spark, sf_dir, "events"))
+
+
+def as_advisories(events: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type").isin("view", "click", "purchase"), "CSO").otherwise("WQ")
     # The codes to hand out, one of them unknown.
     codes = F.array(*[F.lit(c) for c in ("SA", "SB", "SB(WW)", "SC", "I", "SD", "XX")])
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("ts").cast("timestamp").alias("poll_time_utc"), F.col("event_id").alias("poll_id"),
         kind.alias("advisory_type"), _named("WB", "user_id").alias("waterbody"),
         F.col("user_id").cast("string").alias("wb_api_id"),

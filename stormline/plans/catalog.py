@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -11,8 +12,11 @@ from stormline.operators import (
     advisories, crosscheck, cso, filings, ingest, nearest, panel, params, status, storms,
 )
 from stormline.plans import adapters as A, workflows
-from stormline.session import pin_time_zone
+from stormline.session import pin_time_zone, shared_dir
 from stormline.sources import payloads
+from stormline.streaming import polls
+from stormline.streaming.storms import streaming_storms
+from stormline.streaming.versions import read_latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,8 +48,8 @@ def _plain(df: DataFrame) -> DataFrame:
 
 @query
 def flatten_payload(spark, d):
-    polls = A.config_polls(spark, d).withColumn("payload", F.concat(F.lit("["), "payload", F.lit("]")))
-    return payloads.waterbody_rows(polls)
+    asked = A.config_polls(spark, d).withColumn("payload", F.concat(F.lit("["), "payload", F.lit("]")))
+    return payloads.waterbody_rows(asked)
 
 
 @query
@@ -65,9 +69,9 @@ def flatten_advisories(spark, d):
                     F.col("rain_gauge").alias("rainGauge"))
     occurred = F.date_format("occurred_on", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     one = F.struct(body.alias("waterbody"), occurred.alias("occurredOn"), F.col("duration_hr").alias("duration"), "volume")
-    polls = log.select("advisory_type", "poll_time_utc", F.to_json(F.array(one)).alias("payload"))
+    asked = log.select("advisory_type", "poll_time_utc", F.to_json(F.array(one)).alias("payload"))
     return payloads.all_advisory_rows(
-        polls.where("advisory_type = 'WQ'").drop("advisory_type"), polls.where("advisory_type = 'CSO'").drop("advisory_type"))
+        asked.where("advisory_type = 'WQ'").drop("advisory_type"), asked.where("advisory_type = 'CSO'").drop("advisory_type"))
 
 
 @query
@@ -421,6 +425,30 @@ def yearly_compare(spark, d):
     return crosscheck.yearly_compare(_wet_filings(spark, d), _episodes(spark, d), gap_hours=1)
 
 
+# Streams
+
+@query
+def stream_storms(spark, d):
+    source = A.table(spark, d, "events")
+    arriving = spark.readStream.schema(source.schema).parquet(d, pathGlobFilter="events.parquet")
+    found = streaming_storms(A.as_readings(arriving).select("sensor_id", F.col("occurred_on").alias("hour"), F.col("precip_in").alias("precip")))
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    found.writeStream.format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_status(spark, d):
+    source = A.table(spark, d, "events")
+    arriving = spark.readStream.schema(source.schema).parquet(d, pathGlobFilter="events.parquet")
+    rows = A.as_advisories(arriving).select("waterbody", "advisory_type", "poll_time_utc", "poll_id", "occurred_on", "duration_hr")
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    polls.latest_state(rows, ["waterbody", "advisory_type"], ["poll_time_utc", "poll_id"], f"{folder}/table",
+                       f"{folder}/state").awaitTermination()
+    return read_latest(spark, f"{folder}/table")
+
+
 # Status views
 
 @query

@@ -461,6 +461,19 @@ years AS (SELECT DISTINCT year(start_dt) AS y FROM wet_filings UNION SELECT DIST
 SELECT CAST(y AS INTEGER) AS year, (SELECT COUNT(*) FROM wet_filings WHERE year(start_dt) = y) AS filings,
        (SELECT COUNT(*) FROM episodes WHERE year("start") = y) AS onsets,
        (SELECT COUNT(*) FROM clusters WHERE year(cluster_start) = y) AS clusters FROM years""",
+    "stream_storms": f"""WITH {READINGS},
+wet AS (SELECT sensor_id, occurred_on AS hour, SUM(precip_in) AS rain, MAX(precip_in) AS top FROM readings
+        WHERE precip_in > 0 GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN hour - lag(hour) OVER (PARTITION BY sensor_id ORDER BY hour) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM wet),
+groups AS (SELECT *, SUM(fresh) OVER (PARTITION BY sensor_id ORDER BY hour) AS nth FROM steps),
+closed AS (
+  SELECT sensor_id, MIN(hour) AS "start", MAX(hour) AS "end", SUM(rain) AS depth, MAX(top) AS peak FROM groups GROUP BY sensor_id, nth
+  HAVING MAX(hour) + INTERVAL 6 HOURS <= (SELECT MAX(hour) - INTERVAL 1 HOUR FROM wet))
+SELECT sensor_id, strftime("start", '%Y-%m-%d %H:%M:%S') AS "start", strftime("end", '%Y-%m-%d %H:%M:%S') AS "end",
+       {_dbl('depth', 'peak')} FROM closed""",
+    "stream_status": f"""WITH {ADVISORY_LOG}
+SELECT waterbody, advisory_type, {_ts('poll_time_utc', 'occurred_on')}, poll_id, duration_hr FROM advisory_log
+QUALIFY row_number() OVER (PARTITION BY waterbody, advisory_type ORDER BY advisory_log.poll_time_utc DESC, poll_id DESC) = 1""",
     "last_samples": f"""WITH {READINGS}
 SELECT sensor_id, {_ts('hour')}, {_dbl('precip')}, CAST(sample_no AS INTEGER) AS sample_no FROM (
   SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY hour DESC) AS sample_no FROM hourly) WHERE sample_no <= 96""",

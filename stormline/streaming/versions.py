@@ -1,0 +1,39 @@
+"""A small state table kept as numbered versions, one per micro-batch.
+
+Batch n reads the newest version before n and writes version n whole, so a batch that
+is run again after a failure gives the same table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from stormline.sources.writers import write_table
+
+
+def _locate(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder, fs = _locate(spark, path)
+    return fs.exists(folder)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    if not path_exists(spark, path):
+        return []
+    folder, fs = _locate(spark, path)
+    names = [entry.getPath().getName() for entry in fs.listStatus(folder)]
+    # Only a finished write leaves the success mark.
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and path_exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def read_latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    known = [v for v in _versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/v{known[-1]:012d}") if known else None
+
+
+def write_version(df: DataFrame, path: str, version: int) -> None:
+    write_table(df, f"{path}/v{version:012d}")
