@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stormline import schemas
 from stormline.functions.clock import micros
+from stormline.sources.files import visible
 
 # Fixed value: the legacy layer's way to write "no date", in epoch milliseconds.
 NO_DATE_MS = -62135596800000
@@ -44,6 +45,7 @@ def model_config(spark: SparkSession, path: str) -> DataFrame:
 
 def completeness_state(spark: SparkSession, path: str) -> DataFrame:
     """The harvest markers: one JSON object keyed by gauge, as one row per gauge."""
+    path = visible(spark, path)
     entry = "map<string,struct<complete:boolean,records:bigint,updated:string>>"
     text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", entry)).alias("sensor_id", "_m")).select(

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from stormline.operators import ingest, params
 from stormline.schemas import POLLS
 from stormline.sources import payloads
-from stormline.streaming.versions import path_exists, read_latest, write_version
+from stormline.sources.files import path_exists
+from stormline.streaming.versions import read_latest, write_version
 
 # What a poll of each kind becomes.
 FLATTEN: dict[str, Callable[[DataFrame], DataFrame]] = {

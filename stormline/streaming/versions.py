@@ -8,24 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stormline.sources.files import list_names, path_exists
 from stormline.sources.writers import write_table
 
 
-def _locate(spark: SparkSession, path: str):
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    folder, fs = _locate(spark, path)
-    return fs.exists(folder)
-
-
 def _versions(spark: SparkSession, path: str) -> list[int]:
     if not path_exists(spark, path):
         return []
-    folder, fs = _locate(spark, path)
-    names = [entry.getPath().getName() for entry in fs.listStatus(folder)]
+    names = list_names(spark, path)
     # Only a finished write leaves the success mark.
     return sorted(int(n[1:]) for n in names if n.startswith("v") and path_exists(spark, f"{path}/{n}/_SUCCESS"))
 
