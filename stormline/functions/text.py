@@ -7,20 +7,32 @@ from pyspark.sql import Column, functions as F
 # Words that stand for an unknown duration.
 UNKNOWN_DURATIONS = ["", "nan", "none", "unknown", "tbd"]
 
-# The date formats seen in filings, in the order they are tried.
-US_FORMATS = ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy"]
-# The free forms accepted last; other text is null and is counted.
-FREE_FORMATS = ["M/d/yyyy h:mm a", "M/d/yyyy h:mm:ss a", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy"]
+# The date formats seen in filings, each with the shape of text it fits. The US
+# forms come first, then the free forms; other text is null and is counted.
+DATE_FORMATS = [
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AaPp][Mm]$", "M/d/yyyy h:mm a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]$", "M/d/yyyy h:mm:ss a"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+]
 
 
 def parse_filing_date(text: Column) -> Column:
-    """ISO (also compact), then the US forms, then the free forms; otherwise null."""
+    """ISO (also compact), then the US forms, then the free forms; otherwise null.
+
+    A format is tried only on text of its shape: a failed parse costs far more than a
+    pattern test.
+    """
     trimmed = F.trim(text.cast("string"))
     # A cast also takes a bare year or year-month, and times without a date; a dash after
     # a four-digit year keeps those last ones out.
     iso = F.when(trimmed.rlike(r"^\d{4}(-\d{1,2}(-\d{1,2}([ T].*)?)?)?$"), trimmed.try_cast("timestamp"))
     compact = F.when(trimmed.rlike(r"^\d{8}$"), F.try_to_timestamp(trimmed, F.lit("yyyyMMdd")))
-    others = [F.try_to_timestamp(trimmed, F.lit(form)) for form in US_FORMATS + FREE_FORMATS]
+    others = [F.when(trimmed.rlike(shape), F.try_to_timestamp(trimmed, F.lit(form))) for shape, form in DATE_FORMATS]
     return F.coalesce(iso, compact, *others)
 
 

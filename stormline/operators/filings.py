@@ -74,20 +74,23 @@ def duplicate_key(facility: Column, start: Column, waterbody: Column, duration:
     def part(c: Column) -> Column:
         return F.coalesce(F.lower(F.trim(c.cast("string"))), F.lit(""))
 
-    return F.concat_ws("|", part(facility), start.cast("string"), part(waterbody), part(duration))
+    return F.concat_ws("|", *[part(c) for c in (facility, start, waterbody, duration)])
 
 
 def dedup_filings(filings: DataFrame) -> DataFrame:
     """Drop rows without a start date, then repeats across sheets; the last sheet row stays.
 
     Ranked with a bound of one, so each task keeps one row per key before the shuffle
-    and a mass of copies never meets in one place.
+    and a mass of copies, or of padding, never meets in one place. Rows without a date
+    have keys of their own and leave after the ranking; a filter ahead of it would
+    parse every date twice.
     """
-    keyed = with_dates(filings).where(F.col("start_dt").isNotNull()).withColumn(
+    keyed = with_dates(filings).withColumn(
         "dupkey", duplicate_key(*[F.col(c) for c in ("facility", "start_dt", "waterbody", "duration")]))
     latest = Window.partitionBy("dupkey").orderBy(
         F.desc("sheet"), F.desc_nulls_last("row_no"), F.desc_nulls_last("incident_id"))
-    return keyed.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank")
+    return keyed.withColumn("_rank", F.row_number().over(latest)).where(
+        (F.col("_rank") == 1) & F.col("start_dt").isNotNull()).drop("_rank")
 
 
 def is_city(county: Column, facility: Column) -> Column:

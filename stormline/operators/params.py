@@ -20,10 +20,13 @@ COEFFICIENTS = ["a", "b", "c", "d", "e", "f"]
 
 
 def latest_per_waterbody(waterbody_log: DataFrame, order: Sequence[str] = ("poll_time_utc",)) -> DataFrame:
-    """The newest poll row of each waterbody, as an aggregate so that old rows never travel."""
+    """The newest poll row of each waterbody, as an aggregate so that old rows never travel.
+
+    Rows alike in ``order`` are told apart by their content, so the choice is stable.
+    """
     rest = [c for c in waterbody_log.columns if c not in ("waterbody", *order)]
     newest = waterbody_log.groupBy("waterbody").agg(
-        F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("_row"))
+        F.max(F.struct(*order, *rest)).alias("_row"))
     return newest.select("waterbody", "_row.*")
 
 

@@ -105,38 +105,24 @@ def with_previous(
     """Add ``prev_<value>``, the values of the row before by ``order`` within each key.
 
     ``at`` is the leading order column, in epoch microseconds. The lag runs inside a
-    (key, cell); the first row of a cell takes the last row of the nearest earlier cell,
-    found over one row per cell. Both sides read the same shuffle.
+    (key, cell). Only the first row of a cell looks further back: first and last rows,
+    two per cell, are lined up by key alone. Both parts read the same shuffle.
     """
     group = [*keys, "_cell"]
     ordered = Window.partitionBy(*group).orderBy(*order)
-    held = F.struct(*values)
     local = (
         df.withColumn("_cell", cell_of(F.col(at), cell_length))
-        .withColumn("_before", F.lag(held).over(ordered))
-        .withColumn("_next_at", F.lead(F.col(at)).over(ordered))
+        .withColumn("_held", F.struct(*values))
+        .withColumn("_before", F.lag("_held").over(ordered))
+        .withColumn("_next", F.lead("_held").over(ordered))
     )
-    closing = local.where(F.col("_next_at").isNull()).select(*group, held.alias("_held"))
-    carry = closing.select(
-        *group, F.lag("_held").over(Window.partitionBy(*keys).orderBy("_cell")).alias("_carry"))
-    previous = F.coalesce(F.col("_before"), F.col("_carry"))
-    return (
-        _join_null_safe(local, carry, keys, ["_cell"])
-        .withColumn("_prev", previous)
-        .select(*df.columns, *[F.col("_prev").getField(v).alias(f"prev_{v}") for v in values])
-    )
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], exact: Sequence[str]) -> DataFrame:
-    """Left join on ``keys`` (null equals null) and ``exact``."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in [*keys, *exact]],
-                           *[c for c in right.columns if c not in [*keys, *exact]])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    for k in exact:
-        condition = condition & (F.col(k) == F.col(f"_r_{k}"))
-    return left.join(renamed, condition, "left").drop(*[f"_r_{k}" for k in [*keys, *exact]])
+    inner = local.where(F.col("_before").isNotNull()).drop("_next")
+    along = Window.partitionBy(*keys).orderBy("_cell", *order)
+    borders = local.where(F.col("_before").isNull() | F.col("_next").isNull()).withColumn(
+        "_earlier", F.lag("_held").over(along))
+    heads = borders.where(F.col("_before").isNull()).drop("_before", "_next").withColumnRenamed("_earlier", "_before")
+    return inner.unionByName(heads).select(
+        *df.columns, *[F.col("_before").getField(v).alias(f"prev_{v}") for v in values])
 
 
 def bucketed(spans: DataFrame, start: str, end: str, length: int = DAY) -> DataFrame:

@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of one small file over all cores; a table with enough splits stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _named(prefix: str, key: str | Column) -> Column:
     return F.concat(F.lit(prefix), F.col(key).cast("string") if isinstance(key, str) else key.cast("string"))
 
@@ -107,10 +113,12 @@ def config_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     created = F.date_format("l_shipdate", "yyyy-MM-dd").alias("createdOn")
     one = F.struct(name, wbid, created, sensor.alias("activeSensor"), types.alias("advisoryTypes"))
     other = F.struct(types.alias("advisoryTypes"), sensor.alias("activeSensor"), wbid, created, name)
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_extendedprice")
+    return spread(lines).select(
         (F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber"))).cast("timestamp").alias("poll_time_utc"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("poll_id"),
-        _named("WB", "l_suppkey").alias("config_key"),
+        step.alias("revision"), _named("WB", "l_suppkey").alias("config_key"),
         F.when(F.col("l_linestatus") == "O", F.to_json(one)).otherwise(F.to_json(other)).alias("payload"))
 
 

@@ -12,7 +12,7 @@ from stormline.operators import (
     advisories, crosscheck, cso, filings, ingest, nearest, panel, params, status, storms,
 )
 from stormline.plans import adapters as A, workflows
-from stormline.session import pin_time_zone, shared_dir
+from stormline.session import pin_time_zone, pinned, shared_dir
 from stormline.sources import payloads
 from stormline.streaming import polls
 from stormline.streaming.storms import streaming_storms
@@ -95,7 +95,7 @@ def filings_union(spark, d):
 
 @query
 def config_changes(spark, d):
-    changed = params.config_changes(A.config_polls(spark, d), ["config_key"], params.STABLE_CONFIG, ["poll_id"])
+    changed = params.config_changes(A.config_polls(spark, d), ["config_key"], params.STABLE_CONFIG, ["poll_id", "revision"])
     return changed.select("config_key", "poll_time_utc", "poll_id")
 
 
@@ -382,6 +382,11 @@ def filing_coverage(spark, d):
 
 # Filings against advisories
 
+def _saved_episodes(spark, d):
+    """Episodes as the written table they are in use, for queries that read them several times."""
+    return pinned(_episodes(spark, d))
+
+
 def _wet_filings(spark, d):
     return crosscheck.wet_weather_city_filings(_cleaned(spark, d))
 
@@ -403,26 +408,26 @@ def filing_unmatched(spark, d):
 
 @query
 def filing_shares(spark, d):
-    shares = crosscheck.match_shares(_wet_filings(spark, d), _episodes(spark, d))
+    shares = crosscheck.match_shares(_wet_filings(spark, d), _saved_episodes(spark, d))
     return shares.select("filings", "active", "near_onset", F.round("active_share", 6).alias("active_share"),
                          F.round("near_onset_share", 6).alias("near_onset_share"))
 
 
 @query
 def onset_clusters(spark, d):
-    return crosscheck.onset_clusters(_wet_filings(spark, d), _episodes(spark, d), gap_hours=1, reach_hours=2)
+    return crosscheck.onset_clusters(_wet_filings(spark, d), _saved_episodes(spark, d), gap_hours=1, reach_hours=2)
 
 
 @query
 def cluster_match_rates(spark, d):
-    clusters = crosscheck.onset_clusters(_wet_filings(spark, d), _episodes(spark, d), gap_hours=1, reach_hours=2)
+    clusters = crosscheck.onset_clusters(_wet_filings(spark, d), _saved_episodes(spark, d), gap_hours=1, reach_hours=2)
     rates = crosscheck.cluster_match_rates(clusters)
     return rates.withColumn("match_rate", F.round("match_rate", 6))
 
 
 @query
 def yearly_compare(spark, d):
-    return crosscheck.yearly_compare(_wet_filings(spark, d), _episodes(spark, d), gap_hours=1)
+    return crosscheck.yearly_compare(_wet_filings(spark, d), _saved_episodes(spark, d), gap_hours=1)
 
 
 # Streams

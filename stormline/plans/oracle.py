@@ -319,7 +319,7 @@ WITH steps AS (
   SELECT 'WB' || l_suppkey AS config_key, l_shipdate + to_hours(CAST(l_linenumber AS BIGINT)) AS poll_time_utc,
          l_orderkey * 10 + l_linenumber AS poll_id, {STEP} AS step FROM lineitem)
 SELECT config_key, strftime(poll_time_utc, '%Y-%m-%d %H:%M:%S') AS poll_time_utc, poll_id FROM (
-  SELECT *, lag(step) OVER (PARTITION BY config_key ORDER BY steps.poll_time_utc, poll_id) AS before FROM steps)
+  SELECT *, lag(step) OVER (PARTITION BY config_key ORDER BY steps.poll_time_utc, poll_id, step) AS before FROM steps)
 WHERE before IS NULL OR before <> step""",
     "record_key": f"WITH {KEYED} SELECT DISTINCT id, sensor_id FROM keyed",
     "history_merge": f"""WITH {KEYED}
