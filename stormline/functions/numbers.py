@@ -13,7 +13,8 @@ def round_half_even(x: Column, digits: int) -> Column:
 
     The built-in rounding works on the printed decimal, so 39.55, which is stored just
     below 39.55, would round up. Here the product with the power of ten is taken with
-    its rounding error, and that error settles the near ties.
+    its rounding error, and that error settles the near ties. Pass a plain column, as it
+    is used many times over.
     """
     scale = float(10**digits)
     product = x * F.lit(scale)

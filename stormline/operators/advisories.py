@@ -62,11 +62,16 @@ def waterbody_summary(params: DataFrame, episodes: DataFrame, reliable: DataFram
         params.join(reliable, "sensor_id").join(per_body, "waterbody", "left")
         .select(
             "waterbody", F.col("sensor_id").alias("gauge"), F.col("wq_threshold_in").alias("threshold_in"),
-            round_half_even(F.try_divide(n, years), 1).alias("episodes_per_yr"),
-            round_half_even(F.try_divide(hours, years), 0).cast("long").alias("adv_hours_per_yr"),
-            round_half_even(F.try_divide(F.lit(100.0) * hours, F.col("reliable_hours").cast("double")), 1)
-            .alias("pct_time"),
-            round_half_even(F.coalesce("_median", F.lit(0.0)), 0).cast("long").alias("median_dur_hr"),
+            F.try_divide(n, years).alias("_per_yr"), F.try_divide(hours, years).alias("_hours_yr"),
+            F.try_divide(F.lit(100.0) * hours, F.col("reliable_hours").cast("double")).alias("_pct"),
+            F.coalesce("_median", F.lit(0.0)).alias("_median"),
+        )
+        .select(
+            "waterbody", "gauge", "threshold_in",
+            round_half_even(F.col("_per_yr"), 1).alias("episodes_per_yr"),
+            round_half_even(F.col("_hours_yr"), 0).cast("long").alias("adv_hours_per_yr"),
+            round_half_even(F.col("_pct"), 1).alias("pct_time"),
+            round_half_even(F.col("_median"), 0).cast("long").alias("median_dur_hr"),
         )
         .orderBy(F.desc("pct_time"), "waterbody")
     )

@@ -75,8 +75,10 @@ def scores(predicted: DataFrame) -> DataFrame:
     columns = [F.count(F.lit(1)).alias("n_observations"), F.countDistinct("waterbody").alias("n_waterbodies")]
     for name in ("quadratic_depth_peak", "poly5_depth"):
         r2, rmse = r2_and_rmse(F.col(f"pred_{name}"), F.col("volume"))
-        columns += [round_half_even(r2, 4).alias(f"{name}_r2"), round_half_even(rmse, 4).alias(f"{name}_rmse")]
-    return predicted.agg(*columns)
+        columns += [r2.alias(f"{name}_r2"), rmse.alias(f"{name}_rmse")]
+    scored = predicted.agg(*columns)
+    counts = ("n_observations", "n_waterbodies")
+    return scored.select(*counts, *[round_half_even(F.col(c), 4).alias(c) for c in scored.columns if c not in counts])
 
 
 # Both shapes are linear in their six coefficients. Depth and peak are mapped to [-1, 1]

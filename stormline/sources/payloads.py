@@ -14,8 +14,10 @@ from stormline.schemas import ADVISORY_OBJECT, SENSOR_OBJECT, WATERBODY_OBJECT
 LIST_KEYS = ["items", "results", "data", "records", "values"]
 
 
-def rain_or_zero(value: Column) -> Column:
-    return round_half_even(F.coalesce(value, F.lit(0.0)), 4)
+def rain_or_zero(rows: DataFrame, column: str = "rain_24h_in") -> DataFrame:
+    """A missing day's rain reads 0; kept to 4 digits."""
+    return rows.withColumn(column, F.coalesce(column, F.lit(0.0))).withColumn(
+        column, round_half_even(F.col(column), 4))
 
 
 def provisional(rain: Column, threshold: Column) -> Column:
@@ -33,10 +35,10 @@ def waterbody_rows(polls: DataFrame) -> DataFrame:
     rows = _objects(polls, WATERBODY_OBJECT).select(
         "poll_time_utc", F.col("o.name").alias("waterbody"), F.col("o.wbid").alias("wbid"),
         F.col("o.activeSensor.id").alias("sensor_id"),
-        rain_or_zero(F.col("o.activeSensor.accumulatedLast24Hours")).alias("rain_24h_in"),
+        F.col("o.activeSensor.accumulatedLast24Hours").alias("rain_24h_in"),
         advisory_type(F.col("o.advisoryTypes"), "WQ").alias("_wq"),
         advisory_type(F.col("o.advisoryTypes"), "CSO").alias("_cso"))
-    return rows.select(
+    return rain_or_zero(rows).select(
         "poll_time_utc", "waterbody", "wbid", "sensor_id", "rain_24h_in",
         F.col("_wq.rainfallThreshold").alias("wq_threshold_in"),
         coefficient(F.col("_wq.coefficients"), 1).alias("wq_coeff_a"),
@@ -46,9 +48,9 @@ def waterbody_rows(polls: DataFrame) -> DataFrame:
 
 
 def sensor_rows(polls: DataFrame) -> DataFrame:
-    return _objects(polls, SENSOR_OBJECT).select(
+    return rain_or_zero(_objects(polls, SENSOR_OBJECT).select(
         "poll_time_utc", F.col("o.id").alias("sensor_id"), F.col("o.name").alias("sensor_name"),
-        rain_or_zero(F.col("o.accumulatedLast24Hours")).alias("rain_24h_in"), F.col("o.active").alias("active"))
+        F.col("o.accumulatedLast24Hours").alias("rain_24h_in"), F.col("o.active").alias("active")))
 
 
 def advisory_rows(polls: DataFrame, kind: str) -> DataFrame:
