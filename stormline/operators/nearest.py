@@ -17,6 +17,7 @@ EARTH_RADIUS_M = 6371008.8
 FAN = 4          # cells per axis and step
 MAX_LEVELS = 10
 AXES = ("x", "y", "z")
+BOX = [f"w{a}{i}" for a in AXES for i in (0, 1)]
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -82,9 +83,13 @@ def nearest_waterbody(outfalls: DataFrame, waterbodies: DataFrame, levels: int |
     asked = asked.withColumn("qcell", F.concat_ws(":", *[index(a) for a in AXES]))
     frontier = asked.groupBy("qcell").agg(
         *[F.min(a).alias(f"q{a}0") for a in AXES], *[F.max(a).alias(f"q{a}1") for a in AXES]
-    ).withColumn("wcell", F.lit("0:0:0"))
-    for children in tree:
-        frontier = _descend(frontier, children)
+    )
+    # The top level has at most FAN^3 cells, so it is one array and not a join.
+    top = tree[0].agg(F.collect_list(F.struct("wcell", *BOX))).scalar()
+    frontier = _prune(frontier.withColumn("_top", F.explode(top)).select(*frontier.columns, "_top.*"))
+    for children in tree[1:]:
+        opened = frontier.withColumnRenamed("wcell", "parent").join(children, "parent").drop("parent")
+        frontier = _prune(opened)
 
     candidates = frontier.select("qcell", "wcell").join(
         leaves.select("wcell", F.col("lon").alias("_wlon"), F.col("lat").alias("_wlat"), "_body"), "wcell"
@@ -97,8 +102,8 @@ def nearest_waterbody(outfalls: DataFrame, waterbodies: DataFrame, levels: int |
         F.col("_hit.distance_m").alias("distance_m"), F.coalesce("_hit.volume", F.lit(0.0)).alias("volume"))
 
 
-def _descend(frontier: DataFrame, children: DataFrame) -> DataFrame:
-    """Replace waterbody cells by their children and drop those that cannot win."""
+def _prune(opened: DataFrame) -> DataFrame:
+    """Drop the waterbody cells that cannot hold the nearest point of any outfall in the cell."""
     def low(a: str) -> Column:
         gap = F.greatest(F.lit(0.0), F.col(f"w{a}0") - F.col(f"q{a}1"), F.col(f"q{a}0") - F.col(f"w{a}1"))
         return gap * gap
@@ -110,9 +115,9 @@ def _descend(frontier: DataFrame, children: DataFrame) -> DataFrame:
     nearest = reduce(Column.__add__, [low(a) for a in AXES])
     farthest = reduce(Column.__add__, [high(a) for a in AXES])
     best = F.min("_high").over(Window.partitionBy("qcell"))
-    opened = frontier.withColumnRenamed("wcell", "parent").join(children, "parent").select(
+    bounded = opened.select(
         "qcell", *[f"q{a}{i}" for a in AXES for i in (0, 1)], "wcell",
         nearest.alias("_low"), farthest.alias("_high"))
     # The slack covers rounding in the coordinates.
-    return opened.withColumn("_best", best).where(
+    return bounded.withColumn("_best", best).where(
         F.col("_low") <= F.col("_best") * F.lit(1 + 1e-9) + F.lit(1e-18)).drop("_low", "_high", "_best")
