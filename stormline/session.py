@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +30,9 @@ def pin_time_zone(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where none is named."""
+    """A folder that the driver and every executor see: the cluster's checkpoint folder, else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stormline-"))
-    return spark.sparkContext.getCheckpointDir()
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stormline_shared"
 
 
 def pinned(df: DataFrame) -> DataFrame:
