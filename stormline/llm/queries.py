@@ -2,20 +2,47 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stormline.llm.chat import format_chats, read_chats
 from stormline.llm.common import table
+from stormline.llm.decontaminate import decontaminate
 from stormline.llm.exact_dedup import exact_dedup
 from stormline.llm.sharding import shard_documents
+from stormline.llm.token_counts import token_counts
+from stormline.llm.token_files import read_token_files, write_token_files
+from stormline.session import shared_dir
 
 SHARDS = 40
 
 
+def vocabulary() -> str:
+    """The public vocabulary of the token queries, where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), path, vocabulary())
+    return read_token_files(spark, path)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
@@ -35,7 +62,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op4_token_files": op4_token_files,
     "op5_sharding": op5_sharding,
+    "op7_decontamination": op7_decontamination,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -2,6 +2,34 @@
 
 from __future__ import annotations
 
+OP7 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), places AS (
+  SELECT item, words, least(len(words), 10) AS span, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS s FROM items
+  WHERE len(words) > 0
+), windows AS (
+  SELECT DISTINCT item, span, array_to_string(words[s:s + span - 1], ' ') AS w FROM places
+), runs AS (
+  SELECT n, span, s, array_to_string(words[s:s + span - 1], ' ') AS w FROM (
+    SELECT n, words, span, unnest(range(1, len(words) - span + 2)) AS s
+    FROM docs, (SELECT DISTINCT span FROM windows) WHERE len(words) >= span)
+), met AS (
+  SELECT n, s, span, item FROM runs JOIN windows USING (span, w)
+), hit AS (
+  SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(s, s + span)) AS p FROM met) GROUP BY n
+), named AS (
+  SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT n, item FROM met) GROUP BY n
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (n) LEFT JOIN named USING (n)
+"""
+
 OP9 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -30,4 +58,4 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM rows
 """
 
-ORACLE = {"op9_chat_format": OP9, "op10_exact_dedup": OP10}
+ORACLE = {"op7_decontamination": OP7, "op9_chat_format": OP9, "op10_exact_dedup": OP10}
