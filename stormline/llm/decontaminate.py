@@ -77,8 +77,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         rows = rows.withColumn("grams", _grams(gram))
         return rows.withColumn("prints", F.concat(_winnowed("grams", span, gram), *[_grams(n) for n in lengths]))
 
-    long_items = fingerprints(items.where(F.col("span") == span), []).select("span", F.explode("prints").alias("print"))
-    short_items = [items.where(F.col("span") == n).select("span", F.explode(_grams(n)).alias("print")) for n in shorts]
+    # Outer, as an inner explode would have its array computed again in a filter below it.
+    long_items = fingerprints(items.where(F.col("span") == span), []).select("span", F.explode_outer("prints").alias("print"))
+    short_items = [items.where(F.col("span") == n).select("span", F.explode_outer(_grams(n)).alias("print")) for n in shorts]
     prints = long_items
     for one in short_items:
         prints = prints.union(one)
@@ -90,7 +91,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "text").drop("text")
     rows = fingerprints(rows, shorts).select(
         "doc_id", "key", F.size("words").alias("n_words"), "words",
-        F.explode(F.concat("prints", F.array(F.lit(SELF)))).alias("print"))
+        F.explode_outer(F.concat("prints", F.array(F.lit(SELF)))).alias("print"))
     rows = rows.withColumn("mark", F.shiftright("print", PLACE_BITS)).withColumn(
         "place", F.col("print").bitwiseAND(F.lit(2 ** PLACE_BITS - 1)).cast("int"))
     small = prints.count() <= BROADCAST_ROWS
