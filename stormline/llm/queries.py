@@ -10,6 +10,7 @@ from stormline.llm.chat import format_chats, read_chats
 from stormline.llm.common import table
 from stormline.llm.decontaminate import decontaminate
 from stormline.llm.exact_dedup import exact_dedup
+from stormline.llm.ngram_join import ngram_join
 from stormline.llm.sharding import shard_documents
 from stormline.llm.token_counts import token_counts
 from stormline.llm.token_files import read_token_files, write_token_files
@@ -25,6 +26,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), k=3, num=90)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -62,6 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
     "op5_sharding": op5_sharding,
