@@ -10,10 +10,12 @@ from stormline.llm.chat import format_chats, read_chats
 from stormline.llm.common import table
 from stormline.llm.decontaminate import decontaminate
 from stormline.llm.exact_dedup import exact_dedup
+from stormline.llm.mixing import mix
 from stormline.llm.ngram_join import ngram_join
 from stormline.llm.sharding import shard_documents
 from stormline.llm.token_counts import token_counts
 from stormline.llm.token_files import read_token_files, write_token_files
+from stormline.llm.toxicity import toxicity
 from stormline.session import shared_dir
 
 SHARDS = 40
@@ -30,6 +32,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), k=3, num=90)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -48,6 +54,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
@@ -68,10 +78,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
     "op5_sharding": op5_sharding,
     "op7_decontamination": op7_decontamination,
+    "op8_mixing": op8_mixing,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -58,4 +58,47 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM rows
 """
 
-ORACLE = {"op7_decontamination": OP7, "op9_chat_format": OP9, "op10_exact_dedup": OP10}
+
+
+def _raking(rounds: int) -> str:
+    """The steps of the raking, each a table of its own."""
+    steps, last = [], "c0"
+    for k in range(3 * rounds):
+        side = ("source", "lang", "topic")[k % 3]
+        steps.append(f"c{k + 1} AS MATERIALIZED (SELECT * REPLACE (w * t_{side} / sum(w) OVER (PARTITION BY {side}) AS w) FROM {last})")
+        last = f"c{k + 1}"
+    return ", ".join(steps) + f", raked AS (SELECT source, lang, topic, round(w / tokens, 6) AS rate FROM {last})"
+
+
+def _target(side: str, power: float) -> str:
+    return (f"t_{side} AS (SELECT {side}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER ()"
+            f" * sum(sum(tokens)) OVER () AS t_{side} FROM cells GROUP BY {side})")
+
+
+OP8 = rf"""
+WITH texts AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS text,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents
+), rows AS (
+  SELECT doc_id, source, lang, n_tokens, CASE WHEN n_tokens = 0 THEN 'empty' WHEN n_tokens >= 1000 THEN 'long form'
+    WHEN n_tokens < 8 * (length(text) - length(replace(text, chr(10), '')) + 1) THEN 'listing' ELSE 'prose' END AS topic
+  FROM texts
+), cells AS MATERIALIZED (
+  SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM rows WHERE n_tokens > 0 GROUP BY ALL
+), {_target('source', 0.5)}, {_target('lang', 0.7)}, {_target('topic', 0.7)},
+c0 AS MATERIALIZED (
+  SELECT c.*, t_source, t_lang, t_topic, tokens AS w FROM cells c
+  JOIN t_source s ON c.source IS NOT DISTINCT FROM s.source JOIN t_lang l ON c.lang IS NOT DISTINCT FROM l.lang
+  JOIN t_topic t ON c.topic = t.topic
+), {_raking(10)}, rated AS (
+  SELECT r.*, coalesce(k.rate, 1.0) AS rate,
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS draw
+  FROM rows r LEFT JOIN raked k ON r.source IS NOT DISTINCT FROM k.source AND r.lang IS NOT DISTINCT FROM k.lang
+    AND r.topic = k.topic
+)
+SELECT doc_id, source, lang, topic, n_tokens, rate,
+  CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM rated
+"""
+
+ORACLE = {"op8_mixing": OP8, "op7_decontamination": OP7, "op9_chat_format": OP9, "op10_exact_dedup": OP10}
