@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from stormline.session import pinned
+
 # The byte classes that the word rules of the queries name.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -22,3 +24,19 @@ def whole_text(column: str) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A number for the document that also tells rows with null identifiers apart by text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows of these keys; texts move only if there are too many keys to broadcast."""
+    keys = pinned(keys.select(F.col("key").alias("_key")).distinct())
+    few = keys.count() <= BROADCAST_ROWS
+    rows = docs.withColumn("_key", row_key(id_col, text_col))
+    return rows.join(F.broadcast(keys) if few else keys, "_key", "left_anti").select(*docs.columns)

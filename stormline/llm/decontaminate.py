@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stormline.llm.common import ascii_lower, whole_text
+from stormline.llm.common import ascii_lower, row_key, whole_text, without
 from stormline.session import pinned
 
 # Fixed value: the word rule; letters and digits of ASCII, and everything beyond ASCII.
@@ -47,7 +47,7 @@ def _sized(side: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, key.
 
     A window is ``span`` consecutive words of an item, or a whole shorter item. Both sides
     keep the smallest ``gram``-word hash of each run of ``span`` words (winnowing), so a
@@ -87,7 +87,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     prints = pinned(prints.union(own).select(F.shiftright("print", PLACE_BITS).alias("mark"), "span").distinct())
 
     rows = _with_words(docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")),
+        F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")),
         "text").drop("text")
     rows = fingerprints(rows, shorts).select(
         "doc_id", "key", F.size("words").alias("n_words"), "words",
@@ -126,4 +126,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("list", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+        F.sha2(F.coalesce("list", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        "key")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without a hit, columns as they were."""
+    return without(docs, decontaminate(docs, benchmark).where("contaminated"))

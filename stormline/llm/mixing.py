@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stormline.llm.common import WORDS, whole_text
+from stormline.llm.common import WORDS, row_key, whole_text, without
 from stormline.session import pinned
 
 SIDES = ("source", "lang", "topic")
@@ -48,7 +48,7 @@ def rake(cells: DataFrame, powers: Mapping[str, float] = POWERS, rounds: int = R
 
 def mix(docs: DataFrame, powers: Mapping[str, float] = POWERS, rounds: int = ROUNDS, id_col: str = "doc_id",
         text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, rate, copies.
+    """One row per document: doc_id, source, lang, topic, n_tokens, rate, copies, key.
 
     Tokens (words between ASCII white space) are summed by source, language and topic; the
     cells are raked to the targets of all three sides. ``rate`` is a cell's weight over its
@@ -63,10 +63,11 @@ def mix(docs: DataFrame, powers: Mapping[str, float] = POWERS, rounds: int = ROU
     """
     text = whole_text(text_col)
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(source_col).cast("string").alias("source"),
         F.col(lang_col).cast("string").alias("lang"), text.alias("text"),
         F.regexp_count(text, F.lit(WORDS)).cast("long").alias("n_tokens"))
-    rows = pinned(rows.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens"))
+    rows = pinned(rows.select(
+        "doc_id", "key", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens"))
     cells = rows.where("n_tokens > 0").groupBy(*SIDES).agg(F.sum("n_tokens").alias("tokens"))
     rates = rake(pinned(cells), powers, rounds).select(
         *[F.col(s).alias(f"_{s}") for s in SIDES], F.round(F.col("weight") / F.col("tokens"), 6).alias("rate"))
@@ -78,4 +79,9 @@ def mix(docs: DataFrame, powers: Mapping[str, float] = POWERS, rounds: int = ROU
     draw = draw.cast("double") / float(2 ** 52)
     out = rows.join(rates, same, "left").withColumn("rate", F.coalesce("rate", F.lit(1.0)))
     copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
-    return out.select("doc_id", *SIDES, "n_tokens", "rate", copies.cast("long").alias("copies"))
+    return out.select("doc_id", *SIDES, "n_tokens", "rate", copies.cast("long").alias("copies"), "key")
+
+
+def sample_mix(docs: DataFrame) -> DataFrame:
+    """The documents drawn at least once, columns as they were."""
+    return without(docs, mix(docs).where("copies = 0"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from stormline.llm.common import row_key, without
 from stormline.llm.components import components
 from stormline.llm.shingles import shingles
 from stormline.session import pinned
@@ -134,7 +135,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_copies.
+    """One row per document: doc_id, n_shingles, component_id, n_copies, key.
 
     A document's set holds its distinct k-word shingles (A-Z lower-cased, words between
     ASCII white space), or all its words as one if they are fewer. Two link when their
@@ -161,7 +162,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                       F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+                       row_key(id_col, text_col).alias("key"))
     table = spark.sparkContext.broadcast(commonness(docs, k, text_col))
     base = pinned(_summaries(rows, k, num, den, table).select(
         "key", "n", "node", "rare", F.xxhash64("n", "prefix").alias("gid"), "prefix"))
@@ -225,12 +226,18 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     labelled = nodes.select("node").join(components(links), "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"))
     ids = rows.select("doc_id", "key").join(base.select("key", "n", "node").dropDuplicates(["key"]), "key")
-    ids = pinned(ids.select("doc_id", "n", "node"))
+    ids = pinned(ids.select("doc_id", "key", "n", "node"))
     by_node = ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     by_node = by_node.join(labelled, "node")
     by_root = by_node.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = by_node.join(by_root, "root").select("node", "component_id", "n_copies")
     alone = ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
-                                      F.lit(1).cast("long").alias("n_copies"))
+                                      F.lit(1).cast("long").alias("n_copies"), "key")
     return ids.where("n > 0").join(by_node, "node").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies").unionByName(alone)
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies", "key").unionByName(alone)
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One document of each class, that with the smallest doc_id; columns as they were."""
+    found = ngram_join(docs, k, num, den)
+    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))

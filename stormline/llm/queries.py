@@ -10,6 +10,7 @@ from stormline.llm.chat import format_chats, read_chats
 from stormline.llm.common import table
 from stormline.llm.decontaminate import decontaminate
 from stormline.llm.exact_dedup import exact_dedup
+from stormline.llm.line_dedup import duplicate_lines
 from stormline.llm.mixing import mix
 from stormline.llm.ngram_join import ngram_join
 from stormline.llm.sharding import shard_documents
@@ -29,7 +30,7 @@ def vocabulary() -> str:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"), k=3, num=90)
+    return ngram_join(table(spark, sf_dir, "documents"), k=3, num=90).drop("key")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +51,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +88,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
     "op5_sharding": op5_sharding,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
     "op9_chat_format": op9_chat_format,
