@@ -1,19 +1,51 @@
-"""The corpus pipeline: toxicity, near duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: toxicity, near duplicates, decontamination, mixing, sharding.
+
+Each stage works on what the stage before kept. The first four return documents with the
+columns of the table; the last one returns shards and slots. Its middle stages can't be
+expressed in SQL, so ``tests/llm`` holds each stage against a plain version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stormline.llm.common import table
+from stormline.llm.decontaminate import drop_contaminated
+from stormline.llm.mixing import sample_mix
+from stormline.llm.ngram_join import keep_one
+from stormline.llm.queries import SHARDS
 from stormline.llm.sharding import shard_documents
+from stormline.llm.toxicity import reject_toxic
 from stormline.session import pinned
 
 
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard_documents(docs, [1.0] * 40)
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sample_mix(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shard_documents(docs, [1.0] * SHARDS)
 
 
-STAGES = [("sharding", shard)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
 ORACLE_SQL = None
 
 
