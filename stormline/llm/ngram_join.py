@@ -14,7 +14,7 @@ from stormline.llm.components import components
 from stormline.llm.shingles import shingles
 from stormline.session import pinned
 
-SLOT_BITS = 22  # the table of how common shingles are has 2 ** 22 bytes, whatever the input
+SLOT_BITS = 24  # the table of how common shingles are has 2 ** 24 bytes, whatever the input
 FLUSH = 4 << 20
 BROADCAST_ROWS = 1_000_000
 
@@ -121,8 +121,9 @@ def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     few = wanted.count() <= BROADCAST_ROWS
     found = rows.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key")
-    # Repeated rows give the same set again.
-    return pinned(found.select("node", "text").mapInArrow(cut, "node long, marks array<bigint>").dropDuplicates(["node"]))
+    sets = pinned(found.select("node", "text").mapInArrow(cut, "node long, marks array<bigint>"))
+    # Repeated rows give the same set again; without them, the sets need not move here.
+    return sets if sets.count() == wanted.count() else pinned(sets.dropDuplicates(["node"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -205,13 +206,13 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
         "token", "gid", "n", "place", "low", "high",
         ((F.col("low") == F.col("high")) & (F.col("low") == F.col("main.low")) & (F.col("size") > 0)).alias("usual")))
     x, y = marked.where("not usual").alias("x"), marked.alias("y")
+    # A linked pair passes on its first shared shingle: all that it shares stands there or later.
     need = (num * (F.col("x.n") + F.col("y.n"))) / (num + den)
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid"))
                  & ((F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high")))
                  & (F.col("y.usual") | (F.col("x.gid") < F.col("y.gid")))
                  & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
-                 & (F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-                    >= need - 1e-6))
+                 & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need - 1e-6))
     met = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct().union(
         held.where("low <> high").select("gid", "gid"))
     a = classes.select(F.col("gid").alias("ga"), F.col("node").alias("a"), F.col("root").alias("a_root"))
