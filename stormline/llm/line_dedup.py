@@ -86,7 +86,9 @@ def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: i
         wanted = pinned(nodes.join(ends, "node", "left_semi").select("node", "at.key", "at.line_no"))
         few = wanted.count() <= BROADCAST_ROWS
         found = lines.drop("doc_id").join(F.broadcast(wanted) if few else wanted, ["key", "line_no"])
-        held = pinned(_tokens(found.select("node", "words"), tiers).dropDuplicates(["node"]))
+        held = pinned(_tokens(found.select("node", "words"), tiers))
+        # Repeated rows give the same line again.
+        held = held if held.count() == wanted.count() else pinned(held.dropDuplicates(["node"]))
         left = held.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens"))
         right = held.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens"))
         both = pairs.join(left, "a").join(right, "b")
@@ -96,11 +98,11 @@ def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: i
     settled = pinned(verified(stars))
     x = tokens.join(settled.withColumnRenamed("b", "node"), "node", "left_anti").alias("x")
     y = tokens.alias("y")
+    # A linked pair passes on its first shared word: all that it shares stands there or later.
     need = (num * (F.col("x.n") + F.col("y.n"))) / (num + den)
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.at") < F.col("x.at"))
                   & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
-                  & (F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-                     >= need - 1e-6))
+                  & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need - 1e-6))
     rest = pinned(rest.select(F.col("x.node").alias("b"), F.col("y.node").alias("a")).distinct().join(
         stars, ["a", "b"], "left_anti"))
     gone = settled.union(verified(rest)).select(F.col("b").alias("node"), F.lit(True).alias("gone"))
