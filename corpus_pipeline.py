@@ -1,8 +1,10 @@
 """The corpus pipeline: toxicity, near duplicates, decontamination, mixing, sharding.
 
 Each stage works on what the stage before kept. The first four return documents with the
-columns of the table; the last one returns shards and slots. Its middle stages can't be
-expressed in SQL, so ``tests/llm`` holds each stage against a plain version.
+columns of the table; the last one returns shards and slots. Toxicity and
+near duplicates can't be expressed in SQL. ``tests/llm`` holds the near-duplicate stage
+against a plain version and checks rows and columns of the others, whose operators are
+tested on their own.
 """
 
 from __future__ import annotations
