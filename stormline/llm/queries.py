@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stormline.llm.chat import format_chats, read_chats
+from stormline.llm.clustering import clustered
 from stormline.llm.common import table
 from stormline.llm.decontaminate import decontaminate
 from stormline.llm.exact_dedup import exact_dedup
 from stormline.llm.line_dedup import duplicate_lines
+from stormline.llm.minhash import minhash_dedup
 from stormline.llm.mixing import mix
 from stormline.llm.ngram_join import ngram_join
+from stormline.llm.resampling import resample
 from stormline.llm.sharding import shard_documents
 from stormline.llm.token_counts import token_counts
 from stormline.llm.token_files import read_token_files, write_token_files
@@ -82,6 +85,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"), k=3, num=85).drop("key")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
@@ -93,4 +108,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }

@@ -23,6 +23,11 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget() -> None:
+    """Give the memory of the words back, when a task ends in a worker that lives on."""
+    _WORDS.clear()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)

@@ -101,4 +101,79 @@ SELECT doc_id, source, lang, topic, n_tokens, rate,
 FROM rated
 """
 
-ORACLE = {"op8_mixing": OP8, "op7_decontamination": OP7, "op9_chat_format": OP9, "op10_exact_dedup": OP10}
+
+def _clustering(rounds: int) -> str:
+    """The rounds of the clustering, each an assignment and the centroids after it."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT n, any_value(x) AS x, min(ROW(d, c)) AS best FROM (
+    SELECT n, x, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (x[i] - m[i]) * (x[i] - m[i]))) AS BIGINT) AS d
+    FROM vectors, m{k}) GROUP BY n
+)""")
+        if k < rounds:
+            steps.append(f"""m{k + 1} AS MATERIALIZED (
+  SELECT c, coalesce(mean, m) AS m FROM m{k} LEFT JOIN (
+    SELECT c, list(CAST(floor(total / members) AS BIGINT) ORDER BY i) AS mean FROM (
+      SELECT best[2] AS c, i, sum(x[i]) AS total, count(*) AS members FROM a{k}, range(1, 65) AS r(i) GROUP BY ALL
+    ) GROUP BY c) USING (c)
+)""")
+    return ", ".join(steps)
+
+
+OP11 = rf"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), m0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x AS m FROM vectors
+  QUALIFY c < 40
+), {_clustering(5)}, found AS (
+  SELECT vec_id, best[2] AS cluster, best[1] AS distance FROM a5 JOIN vectors USING (n)
+)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM found JOIN m5 ON c = cluster
+"""
+
+OP12 = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+  FROM range(256) AS r(b)
+), texts AS (
+  SELECT row_number() OVER () AS n, doc_id, true AS own, text FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, false, text FROM benchmark
+), counted AS (
+  SELECT n, doc_id, own, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts
+), features AS MATERIALIZED (
+  SELECT n, own, unnest(words) AS w FROM counted
+), distinct_words AS (
+  SELECT DISTINCT w, hex(w) AS h FROM features
+), hashed AS MATERIALIZED (
+  SELECT w, xor(list_reduce(range(1, len(h) // 2 + 1),
+    lambda c, i: xor(c >> 8, t[(xor(c, ('0x' || substr(h, 2 * i - 1, 2))::BIGINT) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM distinct_words, crc_table
+), counts AS (
+  SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM features JOIN hashed USING (w) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts
+), weights AS (
+  SELECT n, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+  FROM features JOIN hashed USING (w) JOIN gains USING (bucket) WHERE own GROUP BY n
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM counted LEFT JOIN weights USING (n) WHERE own
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+    count(*) FILTER (n_features >= 20) OVER () AS fit FROM scored
+)
+SELECT doc_id, n_features AS n_words, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank
+FROM placed
+"""
+
+ORACLE = {"op11_centroid_clustering": OP11, "op12_importance_resampling": OP12, "op8_mixing": OP8, "op7_decontamination": OP7, "op9_chat_format": OP9, "op10_exact_dedup": OP10}
