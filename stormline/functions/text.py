@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# What counts as white space around a text: every blank of Unicode and the ASCII separators.
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+# The shapes of a duration that is understood, with a unit and without.
+DURATION_WITH_UNIT = r"^(\d+(?:\.\d+)?)\s*(hour|hr|minute|min|day)"
+DURATION_BARE = r"^(\d+(?:\.\d+)?)$"
+
 # Words that stand for an unknown duration.
 UNKNOWN_DURATIONS = ["", "nan", "none", "unknown", "tbd"]
 
@@ -21,13 +28,18 @@ DATE_FORMATS = [
 ]
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at its ends, tabs and line ends included."""
+    return F.btrim(text.cast("string"), F.lit(WHITE_SPACE))
+
+
 def parse_filing_date(text: Column) -> Column:
     """ISO (also compact), then the US forms, then the free forms; otherwise null.
 
     A format is tried only on text of its shape: a failed parse costs far more than a
     pattern test.
     """
-    trimmed = F.trim(text.cast("string"))
+    trimmed = strip(text)
     # A cast also takes a bare year or year-month, and times without a date; a dash after
     # a four-digit year keeps those last ones out.
     iso = F.when(trimmed.rlike(r"^\d{4}(-\d{1,2}(-\d{1,2}([ T].*)?)?)?$"), trimmed.try_cast("timestamp"))
@@ -38,11 +50,10 @@ def parse_filing_date(text: Column) -> Column:
 
 def parse_duration_hours(text: Column) -> Column:
     """'24 Hours', '15 Minutes', '2 Days' or a bare number of hours; otherwise null."""
-    cleaned = F.lower(F.trim(text.cast("string")))
-    pattern = r"^(\d+(?:\.\d+)?)\s*(hour|hr|minute|min|day)"
-    number = F.regexp_extract(cleaned, pattern, 1).try_cast("double")
-    unit = F.regexp_extract(cleaned, pattern, 2)
-    bare = F.regexp_extract(cleaned, r"^(\d+(?:\.\d+)?)$", 1).try_cast("double")
+    cleaned = F.lower(strip(text))
+    number = F.regexp_extract(cleaned, DURATION_WITH_UNIT, 1).try_cast("double")
+    unit = F.regexp_extract(cleaned, DURATION_WITH_UNIT, 2)
+    bare = F.regexp_extract(cleaned, DURATION_BARE, 1).try_cast("double")
     return (
         F.when(cleaned.isin(UNKNOWN_DURATIONS), F.lit(None).cast("double"))
         .when(unit.startswith("min"), number / 60)

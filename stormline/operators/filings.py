@@ -7,7 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stormline.functions.text import parse_duration_hours, parse_filing_date
+from stormline.functions.text import parse_duration_hours, parse_filing_date, strip
+
+ROW_NO = "_row_no"  # column of a sheet with the place of each row in it
 
 # Canonical column and the headers seen for it, in order of preference.
 ALIASES = {
@@ -56,9 +58,16 @@ def normalize_sheet(sheet: DataFrame, name: str | Column, row_no: Column | None
     )
 
 
-def union_sheets(sheets: Mapping[str, DataFrame]) -> DataFrame:
-    """All sheets as one table, each row tagged with its sheet."""
-    return reduce(DataFrame.unionByName, (normalize_sheet(df, name) for name, df in sheets.items()))
+def union_sheets(sheets: Mapping[str, DataFrame], row_no: str = ROW_NO) -> DataFrame:
+    """All sheets as one table, each row tagged with its sheet and its place in it.
+
+    The place is the column ``row_no`` of a sheet, as the reader of sheets gives it; where that
+    is missing, the order in which Spark holds the rows.
+    """
+    def place(sheet: DataFrame) -> Column:
+        return F.col(row_no).cast("long") if row_no in sheet.columns else F.monotonically_increasing_id()
+
+    return reduce(DataFrame.unionByName, (normalize_sheet(df, name, place(df)) for name, df in sheets.items()))
 
 
 def with_dates(filings: DataFrame) -> DataFrame:
@@ -72,7 +81,7 @@ def with_duration_hours(filings: DataFrame) -> DataFrame:
 def duplicate_key(facility: Column, start: Column, waterbody: Column, duration: Column) -> Column:
     """Facility, start, waterbody and duration as one key; blank and absent parts are equal."""
     def part(c: Column) -> Column:
-        return F.coalesce(F.lower(F.trim(c.cast("string"))), F.lit(""))
+        return F.coalesce(F.lower(strip(c)), F.lit(""))
 
     return F.concat_ws("|", *[part(c) for c in (facility, start, waterbody, duration)])
 
@@ -94,7 +103,7 @@ def dedup_filings(filings: DataFrame) -> DataFrame:
 
 
 def is_city(county: Column, facility: Column) -> Column:
-    by_county = F.coalesce(F.lower(F.trim(county)).isin(CITY_COUNTIES), F.lit(False))
+    by_county = F.coalesce(F.lower(strip(county)).isin(CITY_COUNTIES), F.lit(False))
     by_facility = F.coalesce(F.upper(facility).contains(CITY_FACILITY), F.lit(False))
     return by_county | by_facility
 
@@ -116,7 +125,7 @@ def filing_coverage(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     """Row counts from raw to city subset, coverage, and the parseable share of durations."""
     start = with_dates(raw).agg(
         F.count(F.lit(1)).alias("raw_rows"), F.count("start_dt").alias("dated_rows"),
-        F.count_if(F.col("start").isNotNull() & (F.trim("start") != "") & F.col("start_dt").isNull())
+        F.count_if(F.col("start").isNotNull() & (strip(F.col("start")) != "") & F.col("start_dt").isNull())
         .alias("unparsed_dates"))
     kept = cleaned.agg(
         F.count(F.lit(1)).alias("unique_rows"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stormline.functions.clock import DAY, micros
 from stormline.operators.spans import with_previous
-from stormline.schemas import WATERBODY_OBJECT
 
 WQ_PARAMS = ["waterbody", "sensor_id", "wq_threshold_in", "wq_coeff_a", "wq_coeff_b"]
 
@@ -62,61 +64,47 @@ def cso_params(config: DataFrame) -> DataFrame:
     )
 
 
-def canonical_hash(payload: Column, schema: T.DataType | None = None) -> Column:
-    """Hash of a configuration text that ignores key order and volatile keys.
-
-    With a schema only the modelled keys count, in schema order. Without one the text
-    is compared whole: as a variant, whose keys are sorted, after the volatile keys were
-    dropped at any depth.
-    """
-    if schema is not None:
-        return F.sha2(F.to_json(F.from_json(payload, schema)), 256)
-    return F.sha2(F.to_json(F.parse_json(without_keys(payload, VOLATILE_KEYS))), 256)
+def _without_volatile(value):
+    if isinstance(value, dict):
+        return {k: _without_volatile(v) for k, v in value.items() if k not in VOLATILE_KEYS}
+    if isinstance(value, list):
+        return [_without_volatile(v) for v in value]
+    return value
 
 
-def without_keys(payload: Column, keys: Sequence[str]) -> Column:
-    """Blank the values of ``keys`` in a JSON text, wherever they stand.
+@F.pandas_udf(T.StringType())
+def canonical_hash(payloads: pd.Series) -> pd.Series:
+    """Hash of a whole configuration text, whatever keys it has, less the volatile keys at every depth.
 
-    Handles scalar values and objects of scalars, the only shapes the volatile keys take.
+    Key order and layout don't count; list order and the kind of a number (1 or 1.0) do. Null
+    for a text that isn't JSON. Documents nest to any depth, which no column expression
+    walks, so each text is parsed by itself, in Arrow batches.
     """
-    names = "|".join(k.replace("$", r"\$") for k in keys)
-    text = r'"(?:[^"\\]|\\.)*"'
-    flat = rf'\{{(?:[^{{}}"]|{text})*\}}'
-    return F.regexp_replace(
-        payload, rf'"({names})"\s*:\s*({text}|{flat}|[^,\[\]{{}}\s"]+)', '"$1":null')
-
+    def one(text: str | None) -> str | None:
+        try:
+            parsed = json.loads(text)
+        except (TypeError, ValueError, RecursionError):
+            return None
+        return hashlib.sha256(json.dumps(_without_volatile(parsed), sort_keys=True).encode("utf-8", "replace")).hexdigest()
 
-# The stable part of a waterbody's configuration.
-STABLE_CONFIG = T.StructType([f for f in WATERBODY_OBJECT.fields if f.name != "activeSensor"])
+    return payloads.map(one)
 
 
-def config_changes(
-    snapshots: DataFrame, keys: Sequence[str] = ("config_key",), schema: T.DataType | None = None,
-    order: Sequence[str] = (),
-) -> DataFrame:
+def config_changes(snapshots: DataFrame, keys: Sequence[str] = ("config_key",), order: Sequence[str] = ()) -> DataFrame:
     """Snapshots whose canonical content differs from the one before it.
 
-    Expects ``poll_time_utc`` and ``payload``.
+    Expects ``poll_time_utc`` and ``payload``. A payload that doesn't parse carries no
+    configuration and is passed over.
     """
-    hashed = snapshots.withColumn("config_hash", canonical_hash(F.col("payload"), schema))
-    return hash_changes(hashed, keys, None, order)
+    hashed = snapshots.withColumn("config_hash", canonical_hash(F.col("payload"))).where("config_hash is not null")
+    return hash_changes(hashed, keys, order)
 
 
-def hash_changes(
-    hashed: DataFrame, keys: Sequence[str], before: DataFrame | None = None, order: Sequence[str] = (),
-) -> DataFrame:
-    """Rows whose ``config_hash`` differs from the row before, per key and by poll time.
-
-    ``before`` holds the last ``poll_time_utc`` and ``config_hash`` seen per key.
-    """
-    rows = hashed.withColumn("_new", F.lit(True))
-    if before is not None:
-        rows = rows.unionByName(before.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-    rows = rows.withColumn("_t", micros("poll_time_utc"))
-    compared = with_previous(rows, keys, ["_t", "_new", *order], "_t", ["config_hash"], cell_length=DAY)
-    return compared.where(
-        F.col("_new") & ~F.col("config_hash").eqNullSafe(F.col("prev_config_hash"))
-    ).drop("_t", "_new", "prev_config_hash")
+def hash_changes(hashed: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows whose ``config_hash`` differs from the row before, per key and by poll time."""
+    rows = hashed.withColumn("_t", micros("poll_time_utc"))
+    compared = with_previous(rows, keys, ["_t", *order], "_t", ["config_hash"], cell_length=90 * DAY)
+    return compared.where(~F.col("config_hash").eqNullSafe(F.col("prev_config_hash"))).drop("_t", "prev_config_hash")
 
 
 def param_drift(old: DataFrame, new: DataFrame, key: str = "wbid", labels: tuple[str, str] = ("old", "new")) -> DataFrame:

@@ -68,7 +68,12 @@ def fold_spans(
             F.least("_to", F.col("_cell") + F.lit(cell_length)).alias("_end"),
             *carried,
         )
-    inside = _fold_within(pieces, keys, gap, measures)
+    return join_cells(_fold_within(pieces, keys, gap, measures), keys, gap, measures)
+
+
+def join_cells(inside: DataFrame, keys: Sequence[str], gap: int, measures: Mapping[str, str]) -> DataFrame:
+    """Fold spans that are already folded inside each cell; ``_nth`` of ``_of`` numbers them there from 1."""
+    carried = list(measures)
     on_border = (F.col("_nth") == 1) | (F.col("_nth") == F.col("_of"))
     borders = inside.select(
         *keys, F.when(~on_border, F.col("_cell")).alias("_cell"), "_start", "_end", *carried)

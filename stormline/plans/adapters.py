@@ -7,16 +7,21 @@ polls (a supplier is a waterbody, a line a poll row), ``orders`` the filings, an
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stormline.operators import filings as filing_ops
 from stormline.operators.panel import QualityRules, dedup_hours, panel_grid
 from stormline.schemas import PRECIP
+from stormline.session import shared_dir
 
 POLL_ORDER = ("poll_time_utc", "poll_id")
 
-# The given tables span 30 days, so quality windows are hours and not weeks.
-RULES = QualityRules(window_hours=6, dead_others_over="1.0")
+# The given tables span 30 days, so quality windows are days and not weeks.
+RULES = QualityRules(window_hours=72)
+# One gauge of the dense panel falls silent for a week.
+SILENT, SILENT_FROM, SILENT_TO = "Q1", "2024-01-09", "2024-01-16"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +57,15 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten users to a gauge, summed per hour, dry hours filled with zero."""
+    """Ten users to a gauge, summed per hour, dry hours filled with zero; one gauge reads zero for a week."""
+    gauge, ts = _named("Q", F.floor(F.col("user_id") / 10)), F.col("ts").cast("timestamp")
+    silent = (gauge == SILENT) & (ts >= F.lit(SILENT_FROM).cast("timestamp")) & (ts < F.lit(SILENT_TO).cast("timestamp"))
+    read = F.when(silent, F.lit(0).cast(PRECIP)).otherwise(_inches("value"))
     sums = (
         table(spark, sf_dir, "events")
-        .groupBy(_named("Q", F.floor(F.col("user_id") / 10)).alias("sensor_id"),
+        .groupBy(gauge.alias("sensor_id"),
                  F.date_trunc("hour", "ts").cast("timestamp").alias("hour"))
-        .agg(F.sum(_inches("value")).cast(PRECIP).alias("precip"))
+        .agg(F.sum(read).cast(PRECIP).alias("precip"))
     )
     return panel_grid(sums).select("sensor_id", "hour", F.coalesce("precip", F.lit(0).cast(PRECIP)).alias("precip"))
 
@@ -70,8 +78,8 @@ def waterbody_log(spark: SparkSession, sf_dir: str, gauge: str = "G") -> DataFra
         _named("WB", "l_suppkey").alias("waterbody"), F.col("l_suppkey").cast("int").alias("wbid"),
         _named(gauge, key).alias("sensor_id"),
         F.round(F.col("l_extendedprice") / 100000, 4).alias("rain_24h_in"),
-        F.when(F.col("l_tax") > 0, F.col("l_linenumber") / 10.0).alias("wq_threshold_in"),
-        F.col("l_quantity").alias("wq_coeff_a"),
+        F.when(F.col("l_tax") > 0, F.col("l_linenumber") / 2.0).alias("wq_threshold_in"),
+        (F.col("l_quantity") / 20).alias("wq_coeff_a"),
         F.when(F.col("l_discount") > 0, F.col("l_discount") + 0.5).alias("wq_coeff_b"),
         F.lit(0.1).alias("cso_threshold_in"))
 
@@ -104,24 +112,42 @@ def _advisory_types(wq_threshold: Column, wq: list[Column], cso: list[Column]) -
 
 
 def config_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One configuration text per poll; key order and volatile keys vary without meaning."""
+    """One configuration text per poll; key order and volatile keys vary without meaning, at every depth.
+
+    Half of what changes stands in a nested object that no model of the document knows.
+    """
     step = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
     types = _advisory_types(step * 0.25, [step * 10, F.lit(0.5)], [step, F.lit(2), F.lit(0), F.lit(0.5), F.lit(0), F.lit(1)])
-    sensor = F.struct(_named("G", "l_suppkey").alias("id"),
+    samples = F.array(F.struct(F.col("l_extendedprice").alias("v"), F.array(F.col("l_linenumber")).alias("at")))
+    sensor = F.struct(_named("G", "l_suppkey").alias("id"), samples.alias("samples"),
                       (F.col("l_extendedprice") / 100000).alias("accumulatedLast24Hours"))
     name, wbid = _named("WB", "l_suppkey").alias("name"), F.col("l_suppkey").cast("int").alias("wbid")
     created = F.date_format("l_shipdate", "yyyy-MM-dd").alias("createdOn")
-    one = F.struct(name, wbid, created, sensor.alias("activeSensor"), types.alias("advisoryTypes"))
-    other = F.struct(types.alias("advisoryTypes"), sensor.alias("activeSensor"), wbid, created, name)
+    grade = (F.col("l_quantity") > 25).cast("int")
+    review = F.array(F.struct(sensor.alias("activeSensor"), grade.alias("grade"), created)).alias("review")
+    again = F.array(F.struct(created, grade.alias("grade"), sensor.alias("activeSensor"))).alias("review")
+    one = F.struct(name, wbid, created, sensor.alias("activeSensor"), F.struct(review).alias("notes"), types.alias("advisoryTypes"))
+    other = F.struct(types.alias("advisoryTypes"), F.struct(again).alias("notes"), sensor.alias("activeSensor"), wbid, created, name)
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_extendedprice")
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_extendedprice",
+        "l_quantity")
     return spread(lines).select(
         (F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber"))).cast("timestamp").alias("poll_time_utc"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("poll_id"),
-        step.alias("revision"), _named("WB", "l_suppkey").alias("config_key"),
+        (step * 2 + grade).alias("revision"), _named("WB", "l_suppkey").alias("config_key"),
         F.when(F.col("l_linestatus") == "O", F.to_json(one)).otherwise(F.to_json(other)).alias("payload"))
 
 
+def damaged_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waterbody polls of which some never arrived, broke off, or hold something else than a list of waterbodies."""
+    n, text = F.col("poll_id") % 10, F.concat(F.lit("["), "payload", F.lit("]"))
+    return config_polls(spark, sf_dir).select(
+        "poll_time_utc", "config_key",
+        F.when(n == 1, F.lit(None)).when(n == 2, F.substring(text, 1, 60)).when(n == 3, F.col("payload")).when(n == 4, "[]")
+        .when(n == 5, F.concat(F.lit("[7,"), "payload", F.lit("]")))
+        .when(n == 6, F.replace(text, F.lit('"wbid":'), F.lit('"wbid":"no ","was":'))).otherwise(text).alias("payload"))
+
+
 def config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested configuration of every supplier; some overflow curves are all zero."""
     live = F.when(F.col("s_nationkey") % 6 == 0, 0.0).otherwise(1.0)
@@ -145,7 +171,7 @@ def vintages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _filing_fields() -> dict[str, Column]:
     """Filing fields of an order, by canonical name; the start is a stamp."""
-    day = F.pmod(F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")), F.lit(40))
+    day = F.pmod(F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")), F.lit(400))
     start = F.timestamp_seconds(F.lit(1704067200) + day * 86400 + (F.col("o_orderkey") % 24) * 3600
                                 + (F.col("o_orderkey") % 60) * 60)
     n = (F.col("o_orderkey") % 40 + 1).cast("string")
@@ -169,7 +195,10 @@ def _filing_fields() -> dict[str, Column]:
 
 
 def filing_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All orders as sheets of four header eras, and one cumulative sheet of repeats."""
+    """All orders as sheets of four header eras, one cumulative sheet of repeats, and repeats inside a sheet.
+
+    A row's place in its sheet doesn't follow its incident id, and the texts of one sheet are padded with tabs.
+    """
     orders = table(spark, sf_dir, "orders")
     fields = _filing_fields()
     start = fields["start"]
@@ -177,7 +206,8 @@ def filing_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     def sheet(rows: DataFrame, era: int, text: Column, skip: tuple[str, ...] = (), **changed: Column) -> DataFrame:
         cells = {**fields, "start": text, **changed}
         headers = {c: filing_ops.ALIASES[c] for c in cells if c not in skip}
-        return rows.select(*[cells[c].alias(names[min(era, len(names) - 1)]) for c, names in headers.items()])
+        place = (F.col("o_orderkey") * 7919 % 100003).alias(filing_ops.ROW_NO)
+        return rows.select(*[cells[c].alias(names[min(era, len(names) - 1)]) for c, names in headers.items()], place)
 
     priority = F.col("o_orderpriority")
     urgent = orders.where(priority == "1-URGENT")
@@ -186,10 +216,16 @@ def filing_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.when(F.col("o_orderstatus") == "F", F.date_format(start, "yyyyMMdd"))
         .when(F.col("o_orderstatus") == "O", F.date_format(start, "M/d/yyyy")).otherwise(F.lit(" ")))
     loud = F.concat(F.lit(" "), F.upper(fields["facility"]), F.lit(" "))
+    high = orders.where(priority == "2-HIGH")
+    tabbed = F.concat(F.lit("\t"), F.date_format(start, "M/d/yyyy H:mm"), F.lit("\t\n"))
+    padded = {"duration": F.concat(fields["duration"], F.lit("\u00a0")), "county": F.concat(fields["county"], F.lit("\t"))}
+    # Entered again further down, under an incident id that sorts before the first one.
+    again = sheet(high.where("o_custkey % 3 = 0"), 1, tabbed, incident_id=F.concat(F.lit("0"), fields["incident_id"]), **padded)
+    again = again.withColumn(filing_ops.ROW_NO, F.col(filing_ops.ROW_NO) + 200000)
     return {
         "2021-01": sheet(urgent, 0, slash),
         "2021-12 cumulative": sheet(urgent, 0, slash, facility=loud),
-        "2022-01": sheet(orders.where(priority == "2-HIGH"), 1, F.date_format(start, "M/d/yyyy H:mm")),
+        "2022-01": sheet(high, 1, tabbed, **padded).unionByName(again),
         "2023-01": sheet(orders.where(priority == "3-MEDIUM"), 2, F.date_format(start, "yyyy-MM-dd HH:mm:ss")),
         "2024-01": sheet(orders.where(priority == "4-NOT SPECIFIED"), 2, F.date_format(start, "MMMM d, yyyy"),
                          skip=("city",)),
@@ -217,6 +253,20 @@ def waterbody_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("volume"))
 
 
+# The corners of the outline that every waterbody has, one of them bending inwards.
+CORNERS = ((0, 0), (4, 0), (4, 3), (2, 1), (0, 3))
+
+
+def waterbody_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines on a lattice, so that none overlap."""
+    lon = F.lit(-74.3) + (F.col("s_suppkey") % 40) * 0.015
+    lat = F.lit(40.5) + F.floor(F.col("s_suppkey") / 40) * 0.012
+    shape = F.array(*[F.struct((lon + x * 0.003).alias("lon"), (lat + y * 0.003).alias("lat")) for x, y in CORNERS])
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("waterbody_id"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("volume"),
+        shape.alias("vertices"))
+
+
 def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id").distinct().select(
         _named("G", "user_id").alias("sensor_id"), _named("Gauge ", "user_id").alias("sensor_name"))
@@ -231,6 +281,18 @@ def gauge_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("")).alias("gauge_ref"))
 
 
+def landed(rows: DataFrame, newest: str, batches: int = 4) -> tuple[DataFrame, str]:
+    """A stream of ``rows`` in several micro-batches that don't follow time, and a folder for its results."""
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.repartitionByRange(batches, F.desc(newest)).write.parquet(f"{folder}/in")
+    return stream_of(spark, rows.schema, f"{folder}/in"), folder
+
+
+def stream_of(spark: SparkSession, schema, path: str) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def history_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Saved readings up to mid-January, and a batch that overlaps them with other values.
 

@@ -13,10 +13,12 @@ from stormline.operators import (
 )
 from stormline.plans import adapters as A, workflows
 from stormline.session import pin_time_zone, pinned, shared_dir
-from stormline.sources import payloads
+from stormline.schemas import WATERBODY_OBJECT
+from stormline.sources import payloads, writers
 from stormline.streaming import polls
-from stormline.streaming.storms import streaming_storms
-from stormline.streaming.versions import read_latest
+from stormline.streaming.config import current_changes, keep_config_changes
+from stormline.streaming.history import keep_history, read_history
+from stormline.streaming.storms import current_storms, keep_storms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +76,11 @@ def flatten_advisories(spark, d):
         asked.where("advisory_type = 'WQ'").drop("advisory_type"), asked.where("advisory_type = 'CSO'").drop("advisory_type"))
 
 
+@query
+def poll_quality(spark, d):
+    return payloads.poll_quality(A.damaged_polls(spark, d), WATERBODY_OBJECT)
+
+
 @query
 def unwrap_records(spark, d):
     sample = F.to_json(F.struct(
@@ -95,7 +102,7 @@ def filings_union(spark, d):
 
 @query
 def config_changes(spark, d):
-    changed = params.config_changes(A.config_polls(spark, d), ["config_key"], params.STABLE_CONFIG, ["poll_id", "revision"])
+    changed = params.config_changes(A.config_polls(spark, d), ["config_key"], ["poll_id", "revision"])
     return changed.select("config_key", "poll_time_utc", "poll_id")
 
 
@@ -121,16 +128,17 @@ def fresh_counts(spark, d):
 
 @query
 def completeness(spark, d):
-    history, _ = A.history_and_batch(spark, d)
+    history, batch = A.history_and_batch(spark, d)
+    merged = ingest.history_merge(history, batch, "id", ["occurred_on", "precip_in"])
     users = A.table(spark, d, "events").select(F.concat(F.lit("G"), F.col("user_id").cast("string")).alias("sensor_id"), "event_type", "value")
     prior = users.groupBy("sensor_id").agg((F.max("value") > 250).alias("complete"))
     ended = users.groupBy("sensor_id").agg(F.count_if(F.col("event_type") == "signup").alias("n")).where("n >= 14")
-    return ingest.completeness(history, prior, ended, F.lit("2024-01-31").cast("timestamp"))
+    return ingest.completeness(merged, prior, ended, F.lit("2024-01-31").cast("timestamp"))
 
 
 @query
 def backfill_order(spark, d):
-    return ingest.backfill_order(A.gauges(spark, d), completeness(spark, d).where("records >= 30"))
+    return ingest.backfill_order(A.gauges(spark, d), completeness(spark, d))
 
 
 @query
@@ -156,6 +164,37 @@ def parse_timestamps(spark, d):
         "event_id", tolerant_timestamp(F.col("raw")).alias("parsed"))
 
 
+# Sinks, read back
+
+@query
+def log_replay(spark, d):
+    # Three batches of a monthly log: one is written twice, and one more breaks off before its mark.
+    rows = A.waterbody_log(spark, d).select("poll_time_utc", "poll_id", "waterbody", "rain_24h_in")
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    for batch in (0, 1, 1, 2):
+        writers.append_monthly(rows.where(F.col("poll_id") % 3 == batch), path, batch)
+    rows.withColumns({"poll_month": F.lit("2099-01"), "run": F.lit("0"), "batch": F.lit(3)}).write.mode("append").partitionBy(
+        "poll_month", "run", "batch").parquet(path)
+    return writers.read_monthly(spark, path, rows.schema)
+
+
+@query
+def history_rewrite(spark, d):
+    history, batch = A.history_and_batch(spark, d)
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    writers.write_history(ingest.history_merge(history, batch, "id", ["occurred_on", "precip_in"]), path)
+    return spark.read.schema(history.schema).parquet(path)
+
+
+@query
+def score_log(spark, d):
+    scores = cso.scores(_predictions(spark, d))
+    path = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    for run in ("monday", "tuesday", "monday"):
+        writers.append_scores(scores, path, run)
+    return writers.read_scores(spark, path, scores.schema).drop(writers.SCORE_TIME)
+
+
 # Parameters
 
 @query
@@ -430,28 +469,44 @@ def yearly_compare(spark, d):
     return crosscheck.yearly_compare(_wet_filings(spark, d), _saved_episodes(spark, d), gap_hours=1)
 
 
-# Streams
+# Streams, each fed in several micro-batches whose rows don't follow time
 
 @query
 def stream_storms(spark, d):
-    source = A.table(spark, d, "events")
-    arriving = spark.readStream.schema(source.schema).parquet(d, pathGlobFilter="events.parquet")
-    found = streaming_storms(A.as_readings(arriving).select("sensor_id", F.col("occurred_on").alias("hour"), F.col("precip_in").alias("precip")))
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    found.writeStream.format("parquet").option("path", f"{folder}/out").option(
-        "checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+    arriving, folder = A.landed(A.readings(spark, d), "occurred_on")
+    readings = arriving.select("id", "sensor_id", F.col("occurred_on").alias("hour"), F.col("precip_in").alias("precip"))
+    keep_storms(readings, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return current_storms(spark, f"{folder}/out")
 
 
 @query
 def stream_status(spark, d):
-    source = A.table(spark, d, "events")
-    arriving = spark.readStream.schema(source.schema).parquet(d, pathGlobFilter="events.parquet")
-    rows = A.as_advisories(arriving).select("waterbody", "advisory_type", "poll_time_utc", "poll_id", "occurred_on", "duration_hr")
+    rows = A.advisory_log(spark, d).select("waterbody", "advisory_type", "poll_time_utc", "poll_id", "occurred_on", "duration_hr")
+    arriving, folder = A.landed(rows, "poll_time_utc")
+    keys, order = ["waterbody", "advisory_type"], ["poll_time_utc", "poll_id"]
+    polls.keep_state(arriving, keys, order, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return polls.current_state(spark, f"{folder}/out", keys, order, rows.schema)
+
+
+@query
+def stream_config(spark, d):
+    # The poll id carries the revision, so that polls of the same time and id have an order.
+    rows = A.config_polls(spark, d).withColumn("poll_id", F.col("poll_id") * 10 + F.col("revision")).drop("revision")
+    arriving, folder = A.landed(rows, "poll_time_utc")
+    keep_config_changes(arriving, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return current_changes(spark, f"{folder}/out").select(
+        "config_key", "poll_time_utc", F.floor(F.col("poll_id") / 10).alias("poll_id"))
+
+
+@query
+def stream_history(spark, d):
+    history, batch = A.history_and_batch(spark, d)
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    polls.latest_state(rows, ["waterbody", "advisory_type"], ["poll_time_utc", "poll_id"], f"{folder}/table",
-                       f"{folder}/state").awaitTermination()
-    return read_latest(spark, f"{folder}/table")
+    # Rows of one id arrive together, so the first one is the same in every run.
+    for rows in (history, batch):
+        rows.repartition(2, "id").write.mode("append").parquet(f"{folder}/in")
+        keep_history(A.stream_of(spark, history.schema, f"{folder}/in"), f"{folder}/history", f"{folder}/state").awaitTermination()
+    return read_history(spark, f"{folder}/history", history.schema)
 
 
 # Status views
@@ -503,6 +558,12 @@ def nearest_volume(spark, d):
     return found.select("outfall_id", "waterbody_id", F.round("distance_m", 2).alias("distance_m"), "volume")
 
 
+@query
+def nearest_outline(spark, d):
+    found = nearest.nearest_waterbody(A.outfalls(spark, d), nearest.outline_segments(A.waterbody_outlines(spark, d)))
+    return found.select("outfall_id", "waterbody_id", F.round("distance_m", 2).alias("distance_m"), "volume")
+
+
 @query
 def class_lookup(spark, d):
     info = status.water_class(F.col("wb_class"))

@@ -27,7 +27,8 @@ hourly AS (
 DENSE = """
 cells AS (
   SELECT 'Q' || (user_id // 10) AS sensor_id, date_trunc('hour', ts) AS hour,
-         SUM(CAST(CAST(value AS DECIMAL(12,2)) * 0.01 AS DECIMAL(12,4))) AS precip
+         SUM(CASE WHEN user_id // 10 = 1 AND ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-16' THEN 0
+                  ELSE CAST(CAST(value AS DECIMAL(12,2)) * 0.01 AS DECIMAL(12,4)) END) AS precip
   FROM events GROUP BY ALL),
 panel AS (
   SELECT s.sensor_id, h.hour, COALESCE(c.precip, 0) AS precip
@@ -52,16 +53,16 @@ rolling AS (
          SUM(CAST(others AS DECIMAL(18,5))) OVER w AS others_sum
   FROM repaired
   WINDOW w AS (PARTITION BY sensor_id ORDER BY hour
-               RANGE BETWEEN INTERVAL '5 hours 59 minutes 59 seconds' PRECEDING AND CURRENT ROW)),
+               RANGE BETWEEN INTERVAL '71 hours 59 minutes 59 seconds' PRECEDING AND CURRENT ROW)),
 flags AS (
-  SELECT *, COALESCE(own_sum < 0.1 AND others_sum > 1.0, FALSE) AS dead FROM rolling)"""
+  SELECT *, COALESCE(own_sum < 0.1 AND others_sum > 2.0, FALSE) AS dead FROM rolling)"""
 
 MASKED = ROLLING + """,
 controlled AS (
   SELECT f.sensor_id, f.hour, CASE WHEN m.hour IS NULL THEN f.precip END AS precip, m.hour IS NOT NULL AS masked
   FROM flags f
   LEFT JOIN (SELECT DISTINCT a.sensor_id, a.hour FROM flags a JOIN flags b
-             ON b.sensor_id = a.sensor_id AND b.dead AND b.hour >= a.hour AND b.hour < a.hour + INTERVAL 6 HOURS) m
+             ON b.sensor_id = a.sensor_id AND b.dead AND b.hour >= a.hour AND b.hour < a.hour + INTERVAL 72 HOURS) m
     ON m.sensor_id = f.sensor_id AND m.hour = f.hour)"""
 
 
@@ -89,7 +90,7 @@ polls AS (
   SELECT l_shipdate + to_hours(CAST(l_linenumber AS BIGINT)) AS poll_time_utc, l_orderkey * 10 + l_linenumber AS poll_id,
          'WB' || l_suppkey AS waterbody, 'G' || l_suppkey AS sensor_id, 'Q' || (l_suppkey // 10) AS dense_id,
          round(l_extendedprice / 100000, 4) AS rain_24h_in,
-         CASE WHEN l_tax > 0 THEN l_linenumber / 10.0 END AS wq_threshold_in, l_quantity AS wq_coeff_a,
+         CASE WHEN l_tax > 0 THEN l_linenumber / 2.0 END AS wq_threshold_in, l_quantity / 20 AS wq_coeff_a,
          CASE WHEN l_discount > 0 THEN l_discount + 0.5 END AS wq_coeff_b
   FROM lineitem),
 newest AS (
@@ -160,6 +161,38 @@ states AS (
     AND h.nth = (SELECT MAX(x.nth) FROM storms_hours x WHERE x.sensor_id = p.sensor_id AND x.hour <= p.occurred_on)
   GROUP BY p.waterbody, p.occurred_on, p.volume)"""
 
+
+
+def _orthogonal(columns: int = 6) -> str:
+    """Columns made orthogonal one after the other inside each fit; what is left of y is the residual.
+
+    A column that depends on those before it is passed over.
+    """
+    steps, last = [], "points"
+    for k in range(1, columns + 1):
+        later = [f"x{j}" for j in range(k + 1, columns + 1)] + ["y"]
+        sums = ", ".join(f"SUM(x{k} * {c}) OVER fit AS s_{c}" for c in later)
+        taken = ", ".join(f"CASE WHEN size > 1e-11 * n THEN {c} - x{k} * s_{c} / size ELSE {c} END AS {c}" for c in later)
+        steps.append(f"""
+summed{k} AS (SELECT *, SUM(x{k} * x{k}) OVER fit AS size, {sums} FROM {last} WINDOW fit AS (PARTITION BY waterbody, shape)),
+left{k} AS (SELECT waterbody, shape, n, volume, {taken} FROM summed{k})""")
+        last = f"left{k}"
+    return ",".join(steps) + f", residuals AS (SELECT * FROM {last})"
+
+
+REFIT = STATES + """,
+spread AS (
+  SELECT *, COUNT(*) OVER g AS n, MIN(depth) OVER g AS d0, MAX(depth) OVER g AS d1, MIN(peak) OVER g AS k0, MAX(peak) OVER g AS k1
+  FROM states WINDOW g AS (PARTITION BY waterbody)),
+scaled AS (
+  SELECT waterbody, n, volume, CASE WHEN d1 > d0 THEN 2 * (depth - d0) / (d1 - d0) - 1 ELSE 0 END AS d,
+         CASE WHEN k1 > k0 THEN 2 * (peak - k0) / (k1 - k0) - 1 ELSE 0 END AS k FROM spread WHERE n >= 7),
+points AS (
+  SELECT waterbody, 'quadratic_depth_peak' AS shape, n, volume, volume AS y,
+         1.0::DOUBLE AS x1, d AS x2, d * d AS x3, k AS x4, k * k AS x5, d * k AS x6 FROM scaled
+  UNION ALL
+  SELECT waterbody, 'poly5_depth', n, volume, volume, 1.0, d, d ** 2, d ** 3, d ** 4, d ** 5 FROM scaled),""" + _orthogonal()
+
 CURVES = """
 curves AS (
   SELECT 'WB' || s_suppkey AS waterbody, s_nationkey * 0.5 AS a, s_acctbal / 1000 AS b, s_acctbal / -5000 AS c,
@@ -208,43 +241,50 @@ users AS (
          COUNT(*) FILTER (event_type = 'signup') >= 14 AS ended FROM events GROUP BY user_id),
 marks AS (
   SELECT h.sensor_id, bool_or(u.was_complete OR u.ended) AS complete, COUNT(*) AS records, MAX(occurred_on) AS latest
-  FROM history h JOIN users u ON u.sensor_id = h.sensor_id GROUP BY h.sensor_id)"""
+  FROM (SELECT * FROM history UNION ALL SELECT * FROM fresh) h JOIN users u ON u.sensor_id = h.sensor_id GROUP BY h.sensor_id)"""
 
 FILINGS = """
 orders_at AS (
-  SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) % 40 AS INTEGER))
+  SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) % 400 AS INTEGER))
             + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60) AS begun,
          o_orderkey % 40 + 1 AS n, CAST(floor(o_totalprice) AS BIGINT) % 7 AS kind,
          CASE WHEN o_custkey % 10 = 0 THEN 'NYCdep Plant ' ELSE 'Plant ' END || o_custkey AS plant
   FROM orders),
 placed_sheets AS (
   SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN '2021-01' WHEN '2-HIGH' THEN '2022-01' WHEN '3-MEDIUM' THEN '2023-01'
-                 WHEN '4-NOT SPECIFIED' THEN '2024-01' WHEN '5-LOW' THEN '2025-01' END AS sheet, plant AS facility FROM orders_at
+                 WHEN '4-NOT SPECIFIED' THEN '2024-01' WHEN '5-LOW' THEN '2025-01' END AS sheet, plant AS facility,
+         CAST(o_orderkey AS VARCHAR) AS incident_id, o_orderkey * 7919 % 100003 AS row_no FROM orders_at
   UNION ALL
-  SELECT *, '2021-12 cumulative', ' ' || upper(plant) || ' ' FROM orders_at WHERE o_orderpriority = '1-URGENT'),
+  SELECT *, '2021-12 cumulative', ' ' || upper(plant) || ' ', CAST(o_orderkey AS VARCHAR), o_orderkey * 7919 % 100003
+  FROM orders_at WHERE o_orderpriority = '1-URGENT'
+  UNION ALL
+  SELECT *, '2022-01', plant, '0' || o_orderkey, o_orderkey * 7919 % 100003 + 200000 FROM orders_at
+  WHERE o_orderpriority = '2-HIGH' AND o_custkey % 3 = 0),
 filings AS (
-  SELECT sheet, facility, CAST(o_orderkey AS VARCHAR) AS incident_id, 'Creek ' || (o_custkey % 100) AS waterbody, begun,
+  SELECT sheet, facility, incident_id, row_no, 'Creek ' || (o_custkey % 100) AS waterbody, begun,
          CASE WHEN sheet LIKE '2021%' THEN strftime(begun, '%m/%d/%Y %H:%M:%S')
-              WHEN sheet = '2022-01' THEN strftime(begun, '%-m/%-d/%Y %-H:%M')
+              WHEN sheet = '2022-01' THEN chr(9) || strftime(begun, '%-m/%-d/%Y %-H:%M') || chr(9) || chr(10)
               WHEN sheet = '2023-01' THEN strftime(begun, '%Y-%m-%d %H:%M:%S')
               WHEN sheet = '2024-01' THEN strftime(begun, '%B %-d, %Y')
               WHEN o_orderstatus = 'F' THEN strftime(begun, '%Y%m%d')
               WHEN o_orderstatus = 'O' THEN strftime(begun, '%-m/%-d/%Y') ELSE ' ' END AS "start",
          CASE kind WHEN 0 THEN n || ' Hours' WHEN 1 THEN n || ' Minutes' WHEN 2 THEN n || ' Days' WHEN 3 THEN CAST(n AS VARCHAR)
-                   WHEN 4 THEN 'unknown' WHEN 5 THEN '2.5 hrs' ELSE n || ' Weeks' END AS duration,
+                   WHEN 4 THEN 'unknown' WHEN 5 THEN '2.5 hrs' ELSE n || ' Weeks' END
+           || CASE WHEN sheet = '2022-01' THEN chr(160) ELSE '' END AS duration,
          round(CASE kind WHEN 0 THEN n WHEN 1 THEN n / 60 WHEN 2 THEN n * 24 WHEN 3 THEN n WHEN 5 THEN 2.5 END, 6) AS duration_hours,
          ['Rain Event', 'CSO overflow', 'Pipe Break,Pipe Break', NULL][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS reason,
-         ['Kings ', 'QUEENS', 'Erie', 'Albany', 'Monroe'][CAST(o_custkey % 5 + 1 AS INTEGER)] AS county,
+         ['Kings ', 'QUEENS', 'Erie', 'Albany', 'Monroe'][CAST(o_custkey % 5 + 1 AS INTEGER)]
+           || CASE WHEN sheet = '2022-01' THEN chr(9) ELSE '' END AS county,
          CASE WHEN sheet NOT IN ('2024-01', '2025-01') THEN 'City' END AS city
   FROM placed_sheets),
 dated AS (
-  SELECT *, try_strptime(trim("start"), ['%m/%d/%Y %H:%M:%S', '%m/%d/%Y %H:%M', '%Y-%m-%d %H:%M:%S', '%B %d, %Y', '%Y%m%d', '%m/%d/%Y']) AS start_dt
+  SELECT *, try_strptime(trim("start", ' ' || chr(9) || chr(10)), ['%m/%d/%Y %H:%M:%S', '%m/%d/%Y %H:%M', '%Y-%m-%d %H:%M:%S', '%B %d, %Y', '%Y%m%d', '%m/%d/%Y']) AS start_dt
   FROM filings),
 cleaned AS (
-  SELECT *, COALESCE(lower(trim(county)) IN ('kings', 'queens'), FALSE) OR lower(facility) LIKE '%nycdep%' AS city_row
+  SELECT *, COALESCE(lower(trim(county, ' ' || chr(9))) IN ('kings', 'queens'), FALSE) OR lower(facility) LIKE '%nycdep%' AS city_row
   FROM dated WHERE start_dt IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY lower(trim(facility)), start_dt, lower(trim(waterbody)), lower(trim(duration))
-                             ORDER BY sheet DESC, incident_id DESC) = 1),
+  QUALIFY row_number() OVER (PARTITION BY lower(trim(facility)), start_dt, lower(trim(waterbody)),
+                             lower(trim(duration, ' ' || chr(160))) ORDER BY sheet DESC, row_no DESC, incident_id DESC) = 1),
 wet_filings AS (
   SELECT * FROM cleaned WHERE city_row AND (lower(reason) LIKE '%rain%' OR lower(reason) LIKE '%cso%'))"""
 
@@ -269,6 +309,22 @@ NEAR = ("EXISTS (SELECT 1 FROM episodes e WHERE f.start_dt BETWEEN e.\"start\" -
 
 STEP = "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END"
 
+CONFIG_CHANGES = f"""
+WITH steps AS (
+  SELECT 'WB' || l_suppkey AS config_key, l_shipdate + to_hours(CAST(l_linenumber AS BIGINT)) AS poll_time_utc,
+         l_orderkey * 10 + l_linenumber AS poll_id, ({STEP}) * 2 + CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS step FROM lineitem)
+SELECT config_key, strftime(poll_time_utc, '%Y-%m-%d %H:%M:%S') AS poll_time_utc, poll_id FROM (
+  SELECT *, lag(step) OVER (PARTITION BY config_key ORDER BY steps.poll_time_utc, poll_id, step) AS before FROM steps)
+WHERE before IS NULL OR before <> step"""
+
+CSO_SCORES = f"""WITH {PREDICTIONS},
+centred AS (SELECT *, volume - AVG(volume) OVER () AS off FROM predicted)
+SELECT COUNT(*) AS n_observations, COUNT(DISTINCT waterbody) AS n_waterbodies,
+       CAST(format('{{:.4f}}', 1 - SUM((volume - q) ** 2) / SUM(off ** 2)) AS DOUBLE) AS quadratic_depth_peak_r2,
+       CAST(format('{{:.4f}}', sqrt(AVG((volume - q) ** 2))) AS DOUBLE) AS quadratic_depth_peak_rmse,
+       CAST(format('{{:.4f}}', 1 - SUM((volume - p) ** 2) / SUM(off ** 2)) AS DOUBLE) AS poly5_depth_r2,
+       CAST(format('{{:.4f}}', sqrt(AVG((volume - p) ** 2))) AS DOUBLE) AS poly5_depth_rmse FROM centred"""
+
 PLACES = """
 outfalls AS (
   SELECT c_custkey AS outfall_id, -74.3 + (c_custkey * 7919 % 100003) / 100003 * 0.6 AS lon,
@@ -283,6 +339,44 @@ pairs AS (
            + cos(radians(o.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - o.lon) / 2), 2))) AS distance_m
   FROM outfalls o CROSS JOIN bodies b)"""
 
+OUTLINES = """
+outfalls AS (
+  SELECT c_custkey AS outfall_id, -74.3 + (c_custkey * 7919 % 100003) / 100003 * 0.6 AS lon,
+         40.5 + (c_custkey * 104729 % 100019) / 100019 * 0.4 AS lat FROM customer),
+corners(k, dx, dy) AS (VALUES (0, 0, 0), (1, 4, 0), (2, 4, 3), (3, 2, 1), (4, 0, 3)),
+shape_corners AS (
+  SELECT s_suppkey AS waterbody_id, CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 0 END AS volume, k,
+         -74.3 + (s_suppkey % 40) * 0.015 + dx * 0.003 AS lon, 40.5 + (s_suppkey // 40) * 0.012 + dy * 0.003 AS lat
+  FROM supplier, corners),
+edges AS (
+  SELECT a.waterbody_id, a.volume, a.lon AS alon, a.lat AS alat, b.lon AS blon, b.lat AS blat
+  FROM shape_corners a JOIN shape_corners b ON b.waterbody_id = a.waterbody_id AND b.k = (a.k + 1) % 5),
+vectors AS (
+  SELECT *, [cos(radians(alat)) * cos(radians(alon)), cos(radians(alat)) * sin(radians(alon)), sin(radians(alat))]::DOUBLE[3] AS a,
+         [cos(radians(blat)) * cos(radians(blon)), cos(radians(blat)) * sin(radians(blon)), sin(radians(blat))]::DOUBLE[3] AS b FROM edges),
+normals AS (
+  SELECT *, array_cross_product(a, b) AS n FROM vectors),
+met AS (
+  SELECT outfall_id, o.lon, o.lat, e.*,
+         [cos(radians(o.lat)) * cos(radians(o.lon)), cos(radians(o.lat)) * sin(radians(o.lon)), sin(radians(o.lat))]::DOUBLE[3] AS p
+  FROM outfalls o CROSS JOIN normals e),
+measured AS (
+  SELECT outfall_id, waterbody_id, volume,
+         CASE WHEN array_inner_product(array_cross_product(n, a), p) > 0 AND array_inner_product(array_cross_product(b, n), p) > 0
+              THEN 6371008.8 * asin(abs(array_inner_product(p, n)) / sqrt(array_inner_product(n, n)))
+              ELSE 2 * 6371008.8 * asin(sqrt(least(
+                pow(sin(radians(alat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(alat)) * pow(sin(radians(alon - lon) / 2), 2),
+                pow(sin(radians(blat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(blat)) * pow(sin(radians(blon - lon) / 2), 2))))
+         END AS distance_m,
+         (alat > lat) <> (blat > lat) AND lon < (blon - alon) * (lat - alat) / (blat - alat) + alon AS crossed
+  FROM met),
+bodies_met AS (
+  SELECT outfall_id, waterbody_id, volume, COUNT(*) FILTER (crossed) % 2 = 1 AS held, MIN(distance_m) AS edge_m
+  FROM measured GROUP BY outfall_id, waterbody_id, volume),
+ranked AS (
+  SELECT outfall_id, waterbody_id, volume, CASE WHEN held THEN 0 ELSE edge_m END AS distance_m FROM bodies_met
+  QUALIFY row_number() OVER (PARTITION BY outfall_id ORDER BY edge_m, waterbody_id) = 1)"""
+
 _CLASSES = """
 classes(wb_class, label, description) AS (VALUES
   ('SA', 'Class SA', 'Best usages are shellfishing for market purposes, primary and secondary contact recreation and fishing'),
@@ -314,13 +408,8 @@ SELECT CASE WHEN event_type = 'error' THEN 'G' || user_id || '-' || strftime(ts,
 FROM events WHERE event_type <> 'signup'""",
     "filings_union": f"""WITH {FILINGS}
 SELECT facility, "start", duration, waterbody, reason, county, city, incident_id, sheet FROM filings""",
-    "config_changes": f"""
-WITH steps AS (
-  SELECT 'WB' || l_suppkey AS config_key, l_shipdate + to_hours(CAST(l_linenumber AS BIGINT)) AS poll_time_utc,
-         l_orderkey * 10 + l_linenumber AS poll_id, {STEP} AS step FROM lineitem)
-SELECT config_key, strftime(poll_time_utc, '%Y-%m-%d %H:%M:%S') AS poll_time_utc, poll_id FROM (
-  SELECT *, lag(step) OVER (PARTITION BY config_key ORDER BY steps.poll_time_utc, poll_id, step) AS before FROM steps)
-WHERE before IS NULL OR before <> step""",
+    "config_changes": CONFIG_CHANGES,
+    "stream_config": CONFIG_CHANGES,
     "record_key": f"WITH {KEYED} SELECT DISTINCT id, sensor_id FROM keyed",
     "history_merge": f"""WITH {KEYED}
 SELECT id, sensor_id, {_ts('occurred_on')}, {_dbl('precip_in')} FROM (SELECT * FROM history UNION ALL SELECT * FROM fresh)""",
@@ -330,7 +419,7 @@ FROM batch b LEFT JOIN fresh f ON f.id = b.id GROUP BY b.sensor_id""",
     "completeness": f"""WITH {COMPLETENESS}
 SELECT sensor_id, complete, records, {_ts('latest')}, '2024-01-31 00:00:00' AS updated FROM marks""",
     "backfill_order": f"""WITH {COMPLETENESS}
-SELECT DISTINCT 'G' || user_id AS sensor_id, COALESCE(m.complete AND m.records >= 30, FALSE) AS complete
+SELECT DISTINCT 'G' || user_id AS sensor_id, COALESCE(m.complete, FALSE) AS complete
 FROM events e LEFT JOIN marks m ON m.sensor_id = 'G' || e.user_id""",
     "harvest_progress": f"""WITH {COMPLETENESS}
 SELECT COUNT(*) FILTER (complete) AS complete, COUNT(*) AS gauges FROM marks""",
@@ -423,13 +512,13 @@ FROM seen s CROSS JOIN (VALUES ('WQ'), ('CSO')) AS k(advisory_type)""",
     "cso_predictions": f"""WITH {PREDICTIONS}
 SELECT waterbody, {_ts('occurred_on')}, volume, round(q, 6) AS pred_quadratic_depth_peak, round(p, 6) AS pred_poly5_depth
 FROM predicted""",
-    "cso_scores": f"""WITH {PREDICTIONS},
-centred AS (SELECT *, volume - AVG(volume) OVER () AS off FROM predicted)
-SELECT COUNT(*) AS n_observations, COUNT(DISTINCT waterbody) AS n_waterbodies,
-       CAST(format('{{:.4f}}', 1 - SUM((volume - q) ** 2) / SUM(off ** 2)) AS DOUBLE) AS quadratic_depth_peak_r2,
-       CAST(format('{{:.4f}}', sqrt(AVG((volume - q) ** 2))) AS DOUBLE) AS quadratic_depth_peak_rmse,
-       CAST(format('{{:.4f}}', 1 - SUM((volume - p) ** 2) / SUM(off ** 2)) AS DOUBLE) AS poly5_depth_r2,
-       CAST(format('{{:.4f}}', sqrt(AVG((volume - p) ** 2))) AS DOUBLE) AS poly5_depth_rmse FROM centred""",
+    "cso_refit": f"""WITH {REFIT},
+totals AS (
+  SELECT waterbody, shape, COUNT(*) AS n, SUM(y * y) AS ss_res, VAR_POP(volume) * COUNT(*) AS ss_tot FROM residuals GROUP BY waterbody, shape)
+SELECT waterbody, shape, n, CASE WHEN ss_tot > 0 THEN round(1 - ss_res / ss_tot, 4) END AS r2, round(sqrt(ss_res / n), 4) AS rmse
+FROM totals""",
+    "cso_scores": CSO_SCORES,
+    "score_log": f"SELECT s.*, r.run FROM ({CSO_SCORES}) s, (VALUES ('monday'), ('tuesday')) AS r(run)",
     "filing_dates": f"""WITH {FILINGS}
 SELECT sheet, incident_id, "start", {_ts('start_dt')} FROM dated""",
     "duration_hours": f"WITH {FILINGS} SELECT sheet, incident_id, duration, duration_hours FROM filings",
@@ -461,16 +550,13 @@ years AS (SELECT DISTINCT year(start_dt) AS y FROM wet_filings UNION SELECT DIST
 SELECT CAST(y AS INTEGER) AS year, (SELECT COUNT(*) FROM wet_filings WHERE year(start_dt) = y) AS filings,
        (SELECT COUNT(*) FROM episodes WHERE year("start") = y) AS onsets,
        (SELECT COUNT(*) FROM clusters WHERE year(cluster_start) = y) AS clusters FROM years""",
-    "stream_storms": f"""WITH {READINGS},
-wet AS (SELECT sensor_id, occurred_on AS hour, SUM(precip_in) AS rain, MAX(precip_in) AS top FROM readings
-        WHERE precip_in > 0 GROUP BY ALL),
-steps AS (SELECT *, CASE WHEN hour - lag(hour) OVER (PARTITION BY sensor_id ORDER BY hour) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM wet),
-groups AS (SELECT *, SUM(fresh) OVER (PARTITION BY sensor_id ORDER BY hour) AS nth FROM steps),
-closed AS (
-  SELECT sensor_id, MIN(hour) AS "start", MAX(hour) AS "end", SUM(rain) AS depth, MAX(top) AS peak FROM groups GROUP BY sensor_id, nth
-  HAVING MAX(hour) + INTERVAL 6 HOURS <= (SELECT MAX(hour) - INTERVAL 1 HOUR FROM wet))
+    "stream_storms": f"""WITH {READINGS}, {_storms("hourly")}
 SELECT sensor_id, strftime("start", '%Y-%m-%d %H:%M:%S') AS "start", strftime("end", '%Y-%m-%d %H:%M:%S') AS "end",
-       {_dbl('depth', 'peak')} FROM closed""",
+       {_dbl('depth', 'peak')} FROM storms""",
+    "stream_history": f"""WITH {KEYED}
+SELECT id, sensor_id, {_ts('occurred_on')}, {_dbl('precip_in')} FROM (
+  SELECT * FROM history QUALIFY row_number() OVER (PARTITION BY id ORDER BY occurred_on, precip_in) = 1
+  UNION ALL SELECT * FROM fresh)""",
     "stream_status": f"""WITH {ADVISORY_LOG}
 SELECT waterbody, advisory_type, {_ts('poll_time_utc', 'occurred_on')}, poll_id, duration_hr FROM advisory_log
 QUALIFY row_number() OVER (PARTITION BY waterbody, advisory_type ORDER BY advisory_log.poll_time_utc DESC, poll_id DESC) = 1""",
@@ -502,6 +588,19 @@ SELECT w.*, g.sensor_id FROM w LEFT JOIN g ON g.sensor_id = w.gauge_ref OR g.sen
     "nearest_volume": f"""WITH {PLACES}
 SELECT outfall_id, waterbody_id, round(distance_m, 2) AS distance_m, volume FROM pairs
 QUALIFY row_number() OVER (PARTITION BY outfall_id ORDER BY pairs.distance_m, waterbody_id) = 1""",
+    "nearest_outline": f"""WITH {OUTLINES}
+SELECT outfall_id, waterbody_id, round(distance_m, 2) AS distance_m, volume FROM ranked""",
+    "poll_quality": f"""
+WITH polls AS (
+  SELECT l_shipdate + to_hours(CAST(l_linenumber AS BIGINT)) AS poll_time_utc,
+         CASE (l_orderkey * 10 + l_linenumber) % 10 WHEN 1 THEN 'missing' WHEN 2 THEN 'unparsed' WHEN 3 THEN 'not a list'
+              WHEN 4 THEN 'empty' WHEN 5 THEN 'partly read' WHEN 6 THEN 'partly read' ELSE 'read' END AS state FROM lineitem)
+SELECT state, COUNT(*) AS polls, strftime(MIN(poll_time_utc), '%Y-%m-%d %H:%M:%S') AS first_poll,
+       strftime(MAX(poll_time_utc), '%Y-%m-%d %H:%M:%S') AS last_poll FROM polls GROUP BY state""",
+    "log_replay": f"""WITH {POLLS}
+SELECT {_ts('poll_time_utc')}, poll_id, waterbody, rain_24h_in, strftime(polls.poll_time_utc, '%Y-%m') AS poll_month FROM polls""",
+    "history_rewrite": f"""WITH {KEYED}
+SELECT id, sensor_id, {_ts('occurred_on')}, {_dbl('precip_in')} FROM (SELECT * FROM history UNION ALL SELECT * FROM fresh)""",
     "class_lookup": f"""WITH {ADVISORY_LOG}, {_CLASSES}
 SELECT a.poll_id, a.wb_class, c.label, c.description FROM advisory_log a LEFT JOIN classes c ON c.wb_class = a.wb_class""",
 }

@@ -56,11 +56,11 @@ def score_overflows(
     return cso.predictions(states, params.cso_params(config))
 
 
-def write_overflow_scores(predicted: DataFrame, estimates_path: str, log_path: str) -> DataFrame:
-    """Overwrite the estimates, append the scores, and return the refits."""
+def write_overflow_scores(predicted: DataFrame, estimates_path: str, log_path: str, run: str) -> DataFrame:
+    """Overwrite the estimates, append the scores of this run, and return the refits."""
     predicted = pinned(predicted)
     writers.write_table(cso.estimates(predicted), estimates_path)
-    writers.append_scores(cso.scores(predicted), log_path)
+    writers.append_scores(cso.scores(predicted), log_path, run)
     return cso.refit(predicted)
 
 

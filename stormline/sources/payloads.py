@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from stormline.functions.clock import tolerant_timestamp
 from stormline.functions.numbers import round_half_even
@@ -30,6 +32,47 @@ def _objects(polls: DataFrame, schema: T.StructType) -> DataFrame:
     return polls.select("poll_time_utc", F.explode(parsed).alias("o"))
 
 
+def poll_state(payload: Column, schema: T.StructType) -> Column:
+    """What became of a poll: ``missing``, ``unparsed``, ``not a list``, ``empty``, ``partly read`` or ``read``.
+
+    Partly read: some entries of the list aren't objects, or have a field of another type than
+    the schema's, so a row or a field of it is lost.
+    """
+    page = F.try_parse_json(payload)
+    entries = F.try_variant_get(page, "$", "array<variant>")
+
+    def lost(entry: Column) -> Column:
+        wrong = ~F.schema_of_variant(entry).startswith("OBJECT")
+        for field in schema.fields:
+            held = F.try_variant_get(entry, f"$.{field.name}", "variant")
+            there = F.coalesce(F.schema_of_variant(held) != "VOID", F.lit(False))
+            wrong = wrong | (there & F.try_variant_get(entry, f"$.{field.name}", field.dataType.simpleString()).isNull())
+        return wrong
+
+    return (F.when(payload.isNull(), "missing").when(page.isNull(), "unparsed").when(entries.isNull(), "not a list")
+            .when(F.size(entries) == 0, "empty").when(F.exists(entries, lost), "partly read").otherwise("read"))
+
+
+def poll_quality(polls: DataFrame, schema: T.StructType, by: Sequence[str] = ()) -> DataFrame:
+    """How many polls of each state came in, and when the first and the last.
+
+    The flattening operators pass over what they can't read; this is where it is counted.
+    """
+    state = polls.select(*by, "poll_time_utc", poll_state(F.col("payload"), schema).alias("state"))
+    return state.groupBy(*by, "state").agg(
+        F.count(F.lit(1)).alias("polls"), F.min("poll_time_utc").alias("first_poll"), F.max("poll_time_utc").alias("last_poll"))
+
+
+def watched(polls: DataFrame, schema: T.StructType, name: str | Observation) -> DataFrame:
+    """The same polls; whatever job or micro-batch reads them also reports ``polls`` and those not fully read.
+
+    With a name, a stream reports the counters as observed metrics of each micro-batch.
+    """
+    state = poll_state(F.col("payload"), schema)
+    lost = [F.count_if(state == s).alias(s.replace(" ", "_")) for s in ("missing", "unparsed", "not a list", "partly read")]
+    return polls.observe(name, F.count(F.lit(1)).alias("polls"), *lost)
+
+
 def waterbody_rows(polls: DataFrame) -> DataFrame:
     """Waterbody polls (``poll_time_utc, payload``) to rows of the waterbody log."""
     rows = _objects(polls, WATERBODY_OBJECT).select(

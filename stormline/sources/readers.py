@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stormline import schemas
-from stormline.functions.clock import micros
+from stormline.operators.filings import ROW_NO
 from stormline.sources.files import visible
 
 # Fixed value: the legacy layer's way to write "no date", in epoch milliseconds.
@@ -33,11 +33,6 @@ def advisory_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.ADVISORY_LOG).option("header", True).csv(path)
 
 
-def monthly_log(spark: SparkSession, path: str) -> DataFrame:
-    """A log written by ``writers.append_monthly``; filters on ``poll_month`` prune folders."""
-    return spark.read.parquet(path)
-
-
 def model_config(spark: SparkSession, path: str) -> DataFrame:
     """The nested configuration, one row per waterbody."""
     return spark.read.schema(schemas.WATERBODY_OBJECT).option("multiLine", True).json(path)
@@ -72,12 +67,9 @@ def legacy_layer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def filing_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """One sheet (or one folder of sheets sharing a header) as text columns."""
-    return spark.read.option("header", True).option("multiLine", True).csv(path)
-
+    """One sheet (or one folder of sheets sharing a header) as text columns, with each row's place in its file.
 
-def fresh_since(readings: DataFrame, marks: DataFrame) -> DataFrame:
-    """Readings newer than each gauge's last saved stamp: a cheap cut ahead of the key merge."""
-    mark = marks.select("sensor_id", micros("latest").alias("_mark"))
-    return readings.join(mark, "sensor_id", "left").where(
-        F.col("_mark").isNull() | (micros("occurred_on") > F.col("_mark"))).drop("_mark")
+    A sheet is read by one task, as its cells may hold line ends, so its rows are numbered in their order.
+    """
+    rows = spark.read.option("header", True).option("multiLine", True).csv(path)
+    return rows.withColumn(ROW_NO, F.monotonically_increasing_id())

@@ -7,11 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from stormline.operators import ingest, params
-from stormline.schemas import POLLS
+from stormline.schemas import ADVISORY_OBJECT, POLLS, SENSOR_OBJECT, WATERBODY_OBJECT
 from stormline.sources import payloads
-from stormline.sources.files import path_exists
-from stormline.streaming.versions import read_latest, write_version
+from stormline.sources.ledger import read_batches
+from stormline.streaming.cells import keep_batches
 
 # What a poll of each kind becomes.
 FLATTEN: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -20,6 +19,7 @@ FLATTEN: dict[str, Callable[[DataFrame], DataFrame]] = {
     "WQ": lambda polls: payloads.advisory_rows(polls, "WQ"),
     "CSO": lambda polls: payloads.advisory_rows(polls, "CSO"),
 }
+OBJECTS = {"waterbodies": WATERBODY_OBJECT, "sensors": SENSOR_OBJECT, "WQ": ADVISORY_OBJECT, "CSO": ADVISORY_OBJECT}
 
 
 def landed_polls(spark: SparkSession, landing: str) -> DataFrame:
@@ -28,8 +28,11 @@ def landed_polls(spark: SparkSession, landing: str) -> DataFrame:
 
 
 def append_log(polls: DataFrame, kind: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Flatten polls of one kind and append them to a log that is split by month."""
-    rows = FLATTEN[kind](polls).withColumn("poll_month", F.date_format("poll_time_utc", "yyyy-MM"))
+    """Flatten polls of one kind and append them to a log that is split by month.
+
+    Polls that can't be read are passed over and counted in the observed metrics ``polls``.
+    """
+    rows = FLATTEN[kind](payloads.watched(polls, OBJECTS[kind], "polls")).withColumn("poll_month", F.date_format("poll_time_utc", "yyyy-MM"))
     return (
         rows.writeStream.format("parquet").outputMode("append").partitionBy("poll_month")
         .option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -40,59 +43,19 @@ def dedup_samples(samples: DataFrame, delay: str = "2 days") -> DataFrame:
     return samples.withWatermark("occurred_on", delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def merge_history(samples: DataFrame, history: str, checkpoint: str) -> StreamingQuery:
-    """Add unseen keys of each micro-batch to the permanent history.
+def keep_state(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, checkpoint: str) -> StreamingQuery:
+    """Keep the newest row per key: a running aggregate in Spark's state store, in update mode.
 
-    Keys already saved are left out, so a repeated batch adds nothing.
+    A micro-batch is reduced before it moves, meets only the state of its own keys, and logs
+    the keys whose row it touched. Late rows change nothing; ties go to the larger row.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        fresh = ingest.first_seen(batch, "id", ["occurred_on", "precip_in"])
-        if path_exists(batch.sparkSession, history):
-            saved = batch.sparkSession.read.schema(batch.schema).parquet(history)
-            fresh = ingest.fresh_rows(saved, batch, "id", ["occurred_on", "precip_in"])
-        fresh.select(*batch.columns).write.mode("append").parquet(history)
-
-    return _each(samples, merge, checkpoint)
-
-
-def latest_state(rows: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest row per key; each micro-batch is reduced before it meets the state."""
-    def newest(df: DataFrame) -> DataFrame:
-        rest = [c for c in df.columns if c not in keys]
-        row = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-        return df.groupBy(*keys).agg(row).select(*keys, "_row.*")
+    rest = [c for c in rows.columns if c not in keys]
+    newest = F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("row")
+    return keep_batches(rows.groupBy(*keys).agg(newest).select(*keys, "row.*"), out, checkpoint, "update")
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        current = newest(batch)
-        before = read_latest(batch.sparkSession, state, batch_id)
-        if before is not None:
-            current = newest(before.unionByName(current))
-        write_version(current, state, batch_id)
 
-    return _each(rows, merge, checkpoint)
-
-
-def config_changes(
-    snapshots: DataFrame, keys: Sequence[str], out: str, state: str, checkpoint: str,
-    schema: T.DataType | None = None,
-) -> StreamingQuery:
-    """Emit a snapshot only when its canonical content differs from the one before.
-
-    The last hash per key is the state; it enters a batch as the row before its first.
-    """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        hashed = batch.withColumn("config_hash", params.canonical_hash(F.col("payload"), schema))
-        before = read_latest(batch.sparkSession, state, batch_id)
-        changed = params.hash_changes(hashed, keys, before)
-        changed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        last = hashed.select(*keys, "poll_time_utc", "config_hash")
-        seen = last if before is None else last.unionByName(before)
-        write_version(
-            seen.groupBy(*keys).agg(F.max(F.struct("poll_time_utc", "config_hash")).alias("_m")).select(*keys, "_m.*"),
-            state, batch_id)
-
-    return _each(snapshots, merge, checkpoint)
-
-
-def _each(rows: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current_state(spark: SparkSession, out: str, keys: Sequence[str], order: Sequence[str], schema: T.StructType) -> DataFrame:
+    """The newest row per key from the log that ``keep_state`` writes."""
+    rest = [c for c in schema.fieldNames() if c not in keys]
+    row = F.max_by(F.struct(*rest), F.struct("batch", *order)).alias("row")
+    return read_batches(spark, out, schema).groupBy(*keys).agg(row).select(*keys, "row.*")

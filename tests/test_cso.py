@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stormline.operators import cso
 from stormline.plans import workflows
+from stormline.sources import writers
 from tests.conftest import at, hours
 
 CURVE = "waterbody string, a double, b double, c double, d double, e double, f double"
@@ -70,9 +71,10 @@ def test_scoring_end_to_end(spark, tmp_path):
     config = spark.createDataFrame([("w", [("CSO", 0.1, [1.0, 2.0, 0.0, 0.0, 0.0, 0.5])])],
                                    "name string, advisoryTypes array<struct<shortName:string,rainfallThreshold:double,coefficients:array<double>>>")
     predicted = workflows.score_overflows(log, polls, config, rain)
-    fits = workflows.write_overflow_scores(predicted, str(tmp_path / "est"), str(tmp_path / "log"))
+    fits = workflows.write_overflow_scores(predicted, str(tmp_path / "est"), str(tmp_path / "log"), "monday")
     assert spark.read.parquet(str(tmp_path / "est")).count() == 9
-    workflows.write_overflow_scores(predicted, str(tmp_path / "est"), str(tmp_path / "log"))
-    scored = spark.read.parquet(str(tmp_path / "log")).collect()
-    assert len(scored) == 2 and scored[0]["n_observations"] == 9 and scored[0]["n_waterbodies"] == 1
+    for run in ("tuesday", "monday"):
+        workflows.write_overflow_scores(predicted, str(tmp_path / "est"), str(tmp_path / "log"), run)
+    scored = writers.read_scores(spark, str(tmp_path / "log"), cso.scores(predicted).schema).collect()
+    assert sorted(r["run"] for r in scored) == ["monday", "tuesday"] and scored[0]["n_observations"] == 9 and scored[0]["n_waterbodies"] == 1
     assert fits.count() == 2

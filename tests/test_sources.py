@@ -6,8 +6,11 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import Observation
+
 from stormline.operators import params
-from stormline.sources import payloads, readers, writers
+from stormline.schemas import WATERBODY_OBJECT
+from stormline.sources import ledger, payloads, readers, writers
 from tests.conftest import at, hours
 
 
@@ -24,8 +27,6 @@ def test_gauge_is_the_file_name(spark, tmp_path):
                    ("3", "BB", dt.datetime(2024, 1, 1), Decimal("1.2500"))]
     state = readers.completeness_state(spark, str(tmp_path / "_meta.json")).first()
     assert (state["sensor_id"], state["complete"], state["records"]) == ("26", True, 2)
-    marks = spark.createDataFrame([("26", dt.datetime(2024, 1, 1))], "sensor_id string, latest timestamp")
-    assert sorted(r["id"] for r in readers.fresh_since(readers.gauge_history(spark, str(tmp_path)), marks).collect()) == ["2", "3"]
 
 
 def test_logs_are_read_as_one(spark, tmp_path):
@@ -85,13 +86,52 @@ def test_record_lists(spark, page, found):
     assert [r["id"] for r in payloads.sample_rows(df).collect()] == found
 
 
-def test_monthly_append_and_prune(spark, tmp_path):
+def test_a_batch_of_a_monthly_log_counts_once(spark, tmp_path):
     rows = spark.createDataFrame([(at(0), "a"), (at(24 * 40), "b")], "poll_time_utc timestamp, waterbody string")
     path = str(tmp_path / "log")
-    writers.append_monthly(rows, path)
-    writers.append_monthly(rows, path)
-    log = readers.monthly_log(spark, path)
-    assert log.count() == 4 and log.where("poll_month = '2024-02'").count() == 2
+    assert writers.read_monthly(spark, path, rows.schema).count() == 0
+    for batch, run in ((0, "x"), (1, "x"), (0, "x"), (0, "y")):
+        writers.append_monthly(rows, path, batch, run)
+    log = writers.read_monthly(spark, path, rows.schema)
+    assert log.count() == 6 and log.where("poll_month = '2024-02'").count() == 3
+    assert log.columns == ["poll_time_utc", "waterbody", "poll_month"]
+    plan = log.where("poll_month = '2024-02'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(poll_month" in plan
+
+
+def test_a_batch_that_breaks_off_is_not_seen(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1,), (2,)], "n int")
+    path = str(tmp_path / "log")
+    ledger.append_batch(rows, path, 0)
+    wanted = ledger._replace
+
+    def breaks(frame, target, by):
+        if target.endswith(".marks"):
+            raise RuntimeError("lost")
+        wanted(frame, target, by)
+
+    monkeypatch.setattr(ledger, "_replace", breaks)
+    with pytest.raises(RuntimeError, match="lost"):
+        ledger.append_batch(rows, path, 1)
+    assert sorted(r["n"] for r in ledger.read_batches(spark, path, rows.schema).collect()) == [1, 2]
+    monkeypatch.undo()
+    ledger.append_batch(rows.where("n = 1"), path, 1)
+    found = ledger.read_batches(spark, path, rows.schema)
+    assert sorted((r["n"], r["run"], r["batch"]) for r in found.collect()) == [(1, "0", 0), (1, "0", 1), (2, "0", 0)]
+    assert ledger.read_batches(spark, path, rows.schema, before=1).count() == 2
+    ledger.append_batch(rows.where("n > 9"), path, 2)
+    assert found.count() == 3 and ledger.committed(spark, path).count() == 3
+
+
+def test_polls_that_cannot_be_read_are_counted(spark):
+    good, object_ = [{"name": "a", "wbid": 1}], {"name": "a"}
+    df = polls(spark, good, "", "[{", object_, [], [1, *good], [{"wbid": "x"}], good, "[]").unionByName(
+        spark.createDataFrame([(at(5), None)], "poll_time_utc timestamp, payload string"))
+    got = {r["state"]: (r["polls"], hours(r["last_poll"])) for r in payloads.poll_quality(df, WATERBODY_OBJECT).collect()}
+    assert got == {"read": (2, 0), "unparsed": (2, 0), "not a list": (1, 0), "empty": (2, 0), "partly read": (2, 0), "missing": (1, 5)}
+    seen = Observation("polls")
+    assert payloads.waterbody_rows(payloads.watched(df, WATERBODY_OBJECT, seen)).where("waterbody is not null").count() > 0
+    assert seen.get == {"polls": 10, "missing": 1, "unparsed": 2, "not_a_list": 1, "partly_read": 2}
 
 
 def test_history_is_sorted_in_a_new_version(spark, tmp_path):

@@ -98,6 +98,77 @@ def test_shapes_count_by_their_vertices(spark):
     assert got == {1: (2, 7.0), 2: (1, 0.0)}
 
 
+OUTLINE = "waterbody_id long, volume double, vertices array<struct<lon:double,lat:double>>"
+
+
+def flat(p, a, b):
+    """Distance in degrees of a plane, and where the foot lies."""
+    d = (b[0] - a[0], b[1] - a[1])
+    size = d[0] ** 2 + d[1] ** 2
+    t = 0 if size == 0 else max(0, min(1, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / size))
+    return math.hypot(p[0] - a[0] - t * d[0], p[1] - a[1] - t * d[1])
+
+
+def inside(p, ring):
+    odd = False
+    for a, b in zip(ring, ring[1:] + ring[:1]):
+        if (a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0]:
+            odd = not odd
+    return odd
+
+
+def test_outlines_count_by_their_edges_and_their_inside(spark):
+    rng = random.Random(11)
+    rings = {}
+    for n in range(12):  # stars on a lattice near the equator, where a plane is exact enough
+        x, y = 0.1 * (n % 4), 0.1 * (n // 4) - 0.1
+        ring = [(x + r * math.cos(a), y + r * math.sin(a)) for a, r in (
+            (2 * math.pi * i / 9, rng.choice((0.012, 0.04))) for i in range(9))]
+        rings[n] = ring[::-1] if n % 2 else ring
+    given = {n: [*ring, ring[0]] if n % 3 == 0 else [ring[0], *ring] for n, ring in rings.items()}
+    shapes = spark.createDataFrame([(n, float(n), ring) for n, ring in given.items()] + [(90, 1.0, []), (91, 1.0, None), (92, 5.0, [(0.5, 0.5)])], OUTLINE)
+    points = {i: (rng.uniform(-0.05, 0.35), rng.uniform(-0.15, 0.15)) for i in range(400)} | {900: (0.5, 0.501)}
+    outs = spark.createDataFrame([(i, *p) for i, p in points.items()], "outfall_id long, lon double, lat double")
+    got = {r["outfall_id"]: r for r in nearest.nearest_waterbody(outs, nearest.outline_segments(shapes)).collect()}
+    within = 0
+    for i, p in points.items():
+        if i == 900:
+            assert got[i]["waterbody_id"] == 92 and got[i]["distance_m"] == pytest.approx(111.2, abs=0.1)
+            continue
+        held = [n for n, ring in rings.items() if inside(p, ring)]
+        near = {n: min(flat(p, a, b) for a, b in zip(ring, ring[1:] + ring[:1])) for n, ring in rings.items()}
+        best = held[0] if held else min(near, key=near.get)
+        within += bool(held)
+        assert got[i]["waterbody_id"] == best
+        assert got[i]["distance_m"] == pytest.approx(0 if held else near[best] * 111195, rel=2e-3, abs=0.5)
+    assert 60 < within < 340
+    lines = {r["outfall_id"]: r for r in nearest.nearest_waterbody(outs, nearest.outline_segments(shapes, closed=False)).collect()}
+    assert all(r["distance_m"] > 0 for r in lines.values())
+
+
+def test_one_far_place_leaves_the_search_local(spark):
+    rng = random.Random(3)
+    city = [(i, -74 + rng.uniform(0, 0.3), 40.5 + rng.uniform(0, 0.3), 1.0) for i in range(3000)]
+    schema = "waterbody_id long, lon double, lat double, volume double"
+    outs = spark.createDataFrame([(i, x + 0.001, y, ) for i, x, y, _ in city] + [(9999, 10.0, -50.0)], "outfall_id long, lon double, lat double")
+
+    def pairs(bodies):
+        found = nearest.nearest_waterbody(outs, spark.createDataFrame(bodies, schema))
+        found.collect()
+        seen = []
+        walk = [found._jdf.queryExecution().executedPlan()]
+        while walk:  # rows of the joins on cells
+            node = walk.pop()
+            if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+                seen.append(node.metrics().apply("numOutputRows").value())
+            inner = [node.finalPhysicalPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else []
+            walk += inner + [node.children().apply(i) for i in range(node.children().size())]
+        return max(seen)
+
+    near, far = pairs(city), pairs([*city, (5000, 100.0, 70.0, 1.0), (5001, -160.0, -70.0, 1.0)])
+    assert near < 150 * len(city) and far < 1.5 * near
+
+
 def test_no_waterbodies(spark):
     w = spark.createDataFrame([], "waterbody_id long, lon double, lat double, volume double")
     o = spark.createDataFrame([(1, 0.0, 1.1)], "outfall_id long, lon double, lat double")
