@@ -15,6 +15,7 @@ from stormline.operators import filings as filing_ops
 from stormline.operators.panel import QualityRules, dedup_hours, panel_grid
 from stormline.schemas import PRECIP
 from stormline.session import shared_dir
+from stormline.sources.readers import NO_DATE_MS
 
 POLL_ORDER = ("poll_time_utc", "poll_id")
 
@@ -158,6 +159,19 @@ def config(spark: SparkSession, sf_dir: str) -> DataFrame:
         _advisory_types(F.lit(0.5), [F.lit(10), F.lit(0.5)], [live * c for c in curve]).alias("advisoryTypes"))
 
 
+def legacy_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the legacy layer: dates in epoch milliseconds, the mark for none among them."""
+    day = F.col("s_suppkey") % 500
+    curves = [(F.col("s_nationkey") * 0.5 + i).alias(f"{c}_Curve") for i, c in enumerate("ABCDEF")]
+    stamp = F.when(F.col("s_nationkey") % 3 == 0, NO_DATE_MS).otherwise((day * 86400 + 1546300800) * 1000)
+    attributes = F.struct(
+        F.concat(_named("WB", "s_suppkey"), F.lit(" ")).alias("Waterbod_1"), _named("G", "s_suppkey").alias("Prim_RainG"), *curves,
+        (F.col("s_acctbal") / 1000).alias("Rainfall_T"), (F.col("s_nationkey") % 2).alias("manual_ove"),
+        F.col("s_suppkey").alias("WBID"), F.lit(0).alias("Advisory"), stamp.alias("Expires"),
+        ((day * 86400 + 1546300800) * 1000).alias("Creation_1"))
+    return table(spark, sf_dir, "supplier").select(attributes.alias("attributes"))
+
+
 def vintages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two sets of six coefficients per waterbody, from its first and its last poll."""
     flags = {"a": "l_returnflag = 'A'", "b": "l_linestatus = 'O'", "c": "l_discount > 0.05", "d": "l_tax > 0.04"}

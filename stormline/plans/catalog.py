@@ -13,8 +13,8 @@ from stormline.operators import (
 )
 from stormline.plans import adapters as A, workflows
 from stormline.session import pin_time_zone, pinned, shared_dir
-from stormline.schemas import WATERBODY_OBJECT
-from stormline.sources import payloads, writers
+from stormline.schemas import ADVISORY_LOG, READINGS, WATERBODY_LOG, WATERBODY_OBJECT
+from stormline.sources import payloads, readers, writers
 from stormline.streaming import polls
 from stormline.streaming.config import current_changes, keep_config_changes
 from stormline.streaming.history import keep_history, read_history
@@ -164,6 +164,69 @@ def parse_timestamps(spark, d):
         "event_id", tolerant_timestamp(F.col("raw")).alias("parsed"))
 
 
+# Files in their landed form, read by the readers
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _documents(rows, layout):
+    """A few JSON documents, each with an array of the rows' objects as ``layout`` has it."""
+    objects = rows.select(F.pmod(F.hash(*rows.columns), F.lit(4)).alias("part"), F.struct(*rows.columns).alias("o"))
+    return objects.groupBy("part").agg(F.to_json(layout(F.collect_list("o"))).alias("value")).select("value")
+
+
+@query
+def gauge_files(spark, d):
+    history, batch = A.history_and_batch(spark, d)
+    path = _folder(spark, "gauges")
+    merged = ingest.history_merge(history, batch, "id", ["occurred_on", "precip_in"])
+    writers.write_gauge_files(merged.select(*READINGS.fieldNames()), path)
+    return readers.gauge_history(spark, path)
+
+
+@query
+def waterbody_files(spark, d):
+    path = _folder(spark, "log")
+    log = A.waterbody_log(spark, d).withColumn("provisional_on_advisory", payloads.provisional(F.col("rain_24h_in"), F.col("wq_threshold_in")))
+    log.select(*WATERBODY_LOG.fieldNames()).write.option("header", True).csv(path)
+    return readers.waterbody_log(spark, path)
+
+
+@query
+def advisory_files(spark, d):
+    path = _folder(spark, "log")
+    A.advisory_log(spark, d).select(*ADVISORY_LOG.fieldNames()).write.option("header", True).csv(path)
+    return readers.advisory_log(spark, path)
+
+
+@query
+def config_files(spark, d):
+    path = _folder(spark, "config")
+    _documents(A.config(spark, d), lambda objects: objects).write.option("maxRecordsPerFile", 1).text(path)
+    return params.cso_params(readers.model_config(spark, path))
+
+
+@query
+def legacy_files(spark, d):
+    path = _folder(spark, "layer")
+    _documents(A.legacy_attributes(spark, d), lambda objects: F.struct(objects.alias("features"))).write.option("maxRecordsPerFile", 1).text(path)
+    return readers.legacy_layer(spark, path).select(
+        "wbid", "waterbody", "a", "f", "threshold_in", "manual_override", "expires", "created")
+
+
+@query
+def stream_log(spark, d):
+    polls_in = A.damaged_polls(spark, d).select("poll_time_utc", "payload")
+    folder = _folder(spark, "stream")
+    polls_in.withColumn("poll_time_utc", F.date_format("poll_time_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'")).repartition(3).write.json(
+        f"{folder}/in", ignoreNullFields=False)
+    polls.append_log(polls.landed_polls(spark, f"{folder}/in"), "waterbodies", f"{folder}/log", f"{folder}/state").awaitTermination()
+    log = spark.read.parquet(f"{folder}/log")
+    return log.groupBy(F.col("poll_month").cast("string").alias("poll_month"), "waterbody").agg(
+        F.count(F.lit(1)).alias("polls"), F.max("poll_time_utc").alias("last_poll"))
+
+
 # Sinks, read back
 
 @query

@@ -601,6 +601,27 @@ SELECT state, COUNT(*) AS polls, strftime(MIN(poll_time_utc), '%Y-%m-%d %H:%M:%S
 SELECT {_ts('poll_time_utc')}, poll_id, waterbody, rain_24h_in, strftime(polls.poll_time_utc, '%Y-%m') AS poll_month FROM polls""",
     "history_rewrite": f"""WITH {KEYED}
 SELECT id, sensor_id, {_ts('occurred_on')}, {_dbl('precip_in')} FROM (SELECT * FROM history UNION ALL SELECT * FROM fresh)""",
+    "gauge_files": f"""WITH {KEYED}
+SELECT id, sensor_id, {_ts('occurred_on')}, {_dbl('precip_in')} FROM (SELECT * FROM history UNION ALL SELECT * FROM fresh)""",
+    "waterbody_files": f"""WITH {POLLS}
+SELECT {_ts('poll_time_utc')}, waterbody, CAST(substr(waterbody, 3) AS INTEGER) AS wbid, sensor_id, rain_24h_in,
+       {_dbl('wq_threshold_in', 'wq_coeff_a', 'wq_coeff_b')}, 0.1::DOUBLE AS cso_threshold_in,
+       COALESCE(rain_24h_in >= wq_threshold_in, FALSE) AS provisional_on_advisory FROM polls""",
+    "advisory_files": f"""WITH {ADVISORY_LOG}
+SELECT {_ts('poll_time_utc', 'occurred_on')}, advisory_type, waterbody, wb_api_id, wb_class, rain_gauge, duration_hr, volume
+FROM advisory_log""",
+    "config_files": f"WITH {CURVES} SELECT waterbody, {_dbl('a', 'b', 'c', 'd', 'e', 'f')} FROM curves",
+    "legacy_files": """
+SELECT CAST(s_suppkey AS INTEGER) AS wbid, 'WB' || s_suppkey AS waterbody, CAST(s_nationkey * 0.5 AS DOUBLE) AS a,
+       CAST(s_nationkey * 0.5 + 5 AS DOUBLE) AS f, s_acctbal / 1000 AS threshold_in, s_nationkey % 2 <> 0 AS manual_override,
+       CASE WHEN s_nationkey % 3 <> 0 THEN strftime(TIMESTAMP '2019-01-01' + to_days(CAST(s_suppkey % 500 AS INTEGER)), '%Y-%m-%d %H:%M:%S') END AS expires,
+       strftime(TIMESTAMP '2019-01-01' + to_days(CAST(s_suppkey % 500 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS created FROM supplier""",
+    "stream_log": """
+WITH read AS (
+  SELECT l_shipdate + to_hours(CAST(l_linenumber AS BIGINT)) AS poll_time_utc, 'WB' || l_suppkey AS waterbody
+  FROM lineitem WHERE (l_orderkey * 10 + l_linenumber) % 10 NOT IN (1, 2, 3, 4))
+SELECT strftime(poll_time_utc, '%Y-%m') AS poll_month, waterbody, COUNT(*) AS polls,
+       strftime(MAX(poll_time_utc), '%Y-%m-%d %H:%M:%S') AS last_poll FROM read GROUP BY ALL""",
     "class_lookup": f"""WITH {ADVISORY_LOG}, {_CLASSES}
 SELECT a.poll_id, a.wb_class, c.label, c.description FROM advisory_log a LEFT JOIN classes c ON c.wb_class = a.wb_class""",
 }

@@ -30,9 +30,17 @@ def pin_time_zone(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and every executor see: the cluster's checkpoint folder, else one in the warehouse."""
+    """A folder that the driver and every executor see: the cluster's checkpoint folder, else one in the warehouse.
+
+    A warehouse on the driver's own disk is no such folder, so on a cluster that is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stormline_shared"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and (":" not in warehouse or warehouse.startswith("file:")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/_stormline_shared"
 
 
 def pinned(df: DataFrame) -> DataFrame:

@@ -28,8 +28,14 @@ def provisional(rain: Column, threshold: Column) -> Column:
 
 
 def _objects(polls: DataFrame, schema: T.StructType) -> DataFrame:
-    parsed = F.from_json("payload", T.ArrayType(schema))
-    return polls.select("poll_time_utc", F.explode(parsed).alias("o"))
+    """One row per object of a payload's list. A list with entries that aren't objects loses those alone."""
+    whole = F.from_json("payload", T.ArrayType(schema))
+    entries = F.filter(F.try_variant_get(F.try_parse_json("payload"), "$", "array<variant>"),
+                       lambda entry: F.schema_of_variant(entry).startswith("OBJECT"))
+    one_by_one = F.transform(entries, lambda entry: F.from_json(F.to_json(entry), schema))
+    # The parser takes a bare object for a list of one, which would make a row of an error message.
+    listed = F.when(F.col("payload").rlike(r"^\s*\["), F.coalesce(whole, one_by_one))
+    return polls.select("poll_time_utc", F.explode(listed).alias("o")).where("o is not null")
 
 
 def poll_state(payload: Column, schema: T.StructType) -> Column:

@@ -13,12 +13,14 @@ NO_DATE_MS = -62135596800000
 
 
 def gauge_history(spark: SparkSession, path: str) -> DataFrame:
-    """All gauge files of a folder; the file's name is the gauge, whatever the column says."""
-    gauge = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.csv", 1)
-    return (
-        spark.read.schema(schemas.READINGS).option("header", True).csv(path, pathGlobFilter="*.csv*")
-        .select("id", gauge.alias("sensor_id"), "occurred_on", "precip_in")
-    )
+    """All gauge files of a folder; the file's name is the gauge, whatever the column says.
+
+    Where gauges have folders (``gauge=BB/``, as ``writers.write_gauge_files`` leaves them), the folder's name is.
+    """
+    rows = spark.read.schema(schemas.READINGS).option("header", True).csv(path, pathGlobFilter="*.csv*")
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.csv", 1)
+    gauge = F.col("gauge").cast("string") if "gauge" in rows.columns else stem
+    return rows.select("id", gauge.alias("sensor_id"), "occurred_on", "precip_in")
 
 
 def waterbody_log(spark: SparkSession, path: str) -> DataFrame:

@@ -29,6 +29,12 @@ def write_history(merged: DataFrame, version_path: str) -> None:
         "sensor_id", "occurred_on").write.mode("errorifexists").parquet(version_path)
 
 
+def write_gauge_files(merged: DataFrame, version_path: str) -> None:
+    """A gauge history as CSV in a folder per gauge, each file sorted by time, to a fresh version path."""
+    merged.withColumn("gauge", F.col("sensor_id")).repartitionByRange("sensor_id", "occurred_on").sortWithinPartitions(
+        "gauge", "occurred_on").write.mode("errorifexists").option("header", True).partitionBy("gauge").csv(version_path)
+
+
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Replace a result table where it lies; ``form`` is ``parquet`` or ``csv``. Don't read it meanwhile."""
     writer = df.write.mode("overwrite")

@@ -77,6 +77,11 @@ def test_sensor_and_advisory_payloads(spark):
     assert (got["advisory_type"], got["wb_api_id"], got["rain_gauge"], hours(got["occurred_on"]), got["volume"]) == ("WQ", "7", None, 2.0, None)
 
 
+def test_one_bad_entry_costs_itself_only(spark):
+    df = polls(spark, [7, {"name": "a", "wbid": 1}, None, [1], {"name": "b", "wbid": "x"}], {"error": "gone"}, '  [{"name": "c"}]', "[{]")
+    assert sorted((r["waterbody"], r["wbid"]) for r in payloads.waterbody_rows(df).collect()) == [("a", 1), ("b", None), ("c", None)]
+
+
 @pytest.mark.parametrize("page,found", [
     ([{"id": 1}, 5, {"id": "x"}], ["1", "x"]), ({"results": [{"id": 1.5, "sensorId": "g", "occurredOn": "t"}]}, ["g-t"]),
     ({"items": 3, "values": [{"id": True}, {"id": None}]}, ["True", "None-None"]), ({"other": [{"id": 1}]}, []), ("not json", []), ([], []),
