@@ -26,9 +26,9 @@ class Bisectors:
     number. Numbers are doubles as long as every sum stays below 2 ** 53, else Python's.
     """
 
-    def __init__(self, centroids: list[list[int]]):
+    def __init__(self, centroids: list[list[int]], dim: int):
         self.k = len(centroids)
-        whole = np.array(centroids, dtype=object).reshape(self.k, -1)
+        whole = np.array(centroids, dtype=object).reshape(self.k, dim)
         a, b = np.triu_indices(self.k, 1)
         normals, squares = 2 * (whole[b] - whole[a]), (whole * whole).sum(1)
         thresholds = squares[b] - squares[a]
@@ -152,10 +152,10 @@ def centroid_clusters(vectors: DataFrame, k: int = 40, rounds: int = 5, dim: int
     first = rows.select(mark.alias("mark"), "vector").orderBy("mark", "vector").limit(k).collect()
     centroids = [[int(v) for v in quantised(pa.array([list(r["vector"])]), scale, dim)[0]] for r in first]
     for _ in range(rounds if centroids else 0):
-        sums = _sums(rows, Bisectors(centroids), scale, dim)
+        sums = _sums(rows, Bisectors(centroids, dim), scale, dim)
         centroids = [[sums[c, d] // sums[c, -1] for d in range(dim)] if (c, -1) in sums else old
                      for c, old in enumerate(centroids)]
-    bisectors = Bisectors(centroids)
+    bisectors = Bisectors(centroids, dim)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,9 +34,18 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def packed(docs: DataFrame, **beside: Column) -> DataFrame:
+    """Each whole row as the one column ``row``, with working columns beside it that can't clash with its own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       *[value.alias(name) for name, value in beside.items()])
+
+
 def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows of these keys; texts move only if there are too many keys to broadcast."""
-    keys = pinned(keys.select(F.col("key").alias("_key")).distinct())
+    """``docs`` without the rows of these keys; texts move only if there are too many keys to broadcast.
+
+    Columns and their values stay as they were, whatever their names.
+    """
+    keys = pinned(keys.select("key").distinct())
     few = keys.count() <= BROADCAST_ROWS
-    rows = docs.withColumn("_key", row_key(id_col, text_col))
-    return rows.join(F.broadcast(keys) if few else keys, "_key", "left_anti").select(*docs.columns)
+    rows = packed(docs, key=row_key(id_col, text_col))
+    return rows.join(F.broadcast(keys) if few else keys, "key", "left_anti").select("row.*")

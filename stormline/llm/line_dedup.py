@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stormline.llm.common import WORDS, ascii_lower, row_key, whole_text
+from stormline.llm.common import WORDS, ascii_lower, packed, row_key, whole_text
 from stormline.session import pinned
 
 TIERS = (64, 512, 4096)  # the most frequent words, in classes; the list is bounded by the last
@@ -119,8 +119,13 @@ def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: i
 
 
 def remove_lines(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines that ``duplicate_lines`` found; other columns as they were."""
-    marks = found.where(F.size("removed") > 0).select(F.col("key").alias("_key"), F.col("removed").alias("_removed"))
-    rows = docs.withColumn("_key", row_key(id_col, text_col)).join(marks.dropDuplicates(["_key"]), "_key", "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    return rows.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    """``docs`` without the lines that ``duplicate_lines`` found; other columns as they were, whatever their names.
+
+    A null text stays null. Repeated rows lose the same lines. An empty table stays empty.
+    """
+    marks = found.where(F.size("removed") > 0).select("key", "removed").dropDuplicates(["key"])
+    rows = packed(docs, key=row_key(id_col, text_col)).join(marks, "key", "left")
+    text = F.col("row").getField(text_col)
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
+    cut = F.when(F.col("removed").isNull(), text).otherwise(kept).alias(text_col)
+    return rows.select(*[cut if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 SCHEMA = ("doc_id long, source string, lang string, text string, key string, n long, node string, token string, "
-          "words string, part long, shard string, score string, _key string, _id string")
-EXTRA = ("k", 1, "x", "t", "w", 2, "s", "r", "q", "i")
+          "words string, part long, shard string, score string, _key string, _id string, _m string, _mean string, "
+          "_score string, _removed string, row string, removed string")
+EXTRA = ("k", 1, "x", "t", "w", 2, "s", "r", "q", "i", "m", "n", "o", "p", "u", "v")
 
 
 def awkward_rows() -> list[tuple]:
