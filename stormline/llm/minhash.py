@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stormline.llm.common import row_key, without
 from stormline.llm.components import components
@@ -143,13 +143,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str
     return sets if sets.count() == wanted.count() else pinned(sets.dropDuplicates(["node"]))
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str,
-            broadcast_rows: int) -> DataFrame:
+def _verified(likely: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
-    likely = pinned(_likely(pairs, nodes, num / den))
-    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = pinned(nodes.select("node", "key").join(ends, "node", "left_semi"))
-    sets = _sets(docs, wanted, k, id_col, text_col, broadcast_rows)
     both = likely
     for side in "ab":
         both = both.join(sets.select(F.col("node").alias(side), F.col("marks").alias(f"{side}_marks")), side)
@@ -157,6 +152,59 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: in
     return pinned(both.where(den * shared >= num * (F.size("a_marks") + F.size("b_marks") - shared)).select("a", "b"))
 
 
+def _shared_at_most(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """node and top, the shingles it has in common with any other node of ``sets``, of nodes that may still link.
+
+    What a node alone has is in no intersection and in every union, so too much of it rules
+    out every link. Nodes that leave take shingles with them that were shared with them only,
+    so this goes twice.
+    """
+    left = sets.select("node", F.size("marks").alias("n"), "marks")
+    for _ in range(2):
+        alone = left.select("node", F.explode("marks").alias("mark")).groupBy("mark").agg(
+            F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node")).where("nodes = 1")
+        alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+        left = left.drop("top").join(alone, "node", "left").withColumn("top", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+        left = pinned(left.where(den * F.col("top") >= num * F.col("n")))
+    return left.select("node", "top")
+
+
+def _hubs(active: DataFrame) -> DataFrame:
+    """The hub of each band, the node that meets most others over all its bands, and that of another class."""
+    best = active.groupBy("band", "root").agg(F.max(F.struct("reach", "node"))["node"].alias("node"),
+                                              F.max("reach").alias("reach"))
+    order = Window.partitionBy("band").orderBy(F.desc("reach"), F.desc("root"))
+    best = best.withColumn("place", F.row_number().over(order)).where("place <= 2")
+    return best.groupBy("band").agg(*[F.max(F.when(F.col("place") == i, F.struct("root", "node"))).alias(f"hub{i}") for i in (1, 2)])
+
+
+def _stars(active: DataFrame, hubs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of each node with the hubs of its bands that are of another class than its own, as many as rows."""
+    hub = F.when(F.col("root") != F.col("hub1.root"), F.col("hub1.node")).otherwise(F.col("hub2.node"))
+    pairs = active.join(hubs, "band").select("node", "n", hub.alias("hub")).where("hub is not null").distinct()
+    sizes = active.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")).distinct()
+    fits = den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n")
+    return pairs.join(sizes, "hub").where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def _around_hubs(active: DataFrame, hubs: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, hub (the one it meets most often) and inside, the shingles it has in common with it."""
+    own = active.select("band", "node").join(hubs.select("band", F.col("hub1.node").alias("hub")), "band")
+    own = own.groupBy("node", "hub").count().groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+    both = own.join(sets, "node").join(sets.toDF("hub", "hub_marks"), "hub")
+    return both.select("node", "hub", F.size(F.array_intersect("marks", "hub_marks")).alias("inside"))
+
+
+def _with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+    return rows.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _open(met: DataFrame) -> DataFrame:
+    """Rows of the bands in which more than one class still meets."""
+    classes = met.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return met.join(classes.select("band"), "band")
+
+
 def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS,
                   id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, key.
@@ -173,8 +221,11 @@ def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ba
     3. A pair is dropped when its collision-corrected estimate lies ``SURE`` standard errors
        below the threshold, where the error follows the number of filled buckets; small sets
        are hardly ever dropped. The rest is verified on whole sets, and links give classes.
-    4. Every other pair that shares a band and could join two classes is estimated and
-       verified too. The most frequent class of a meeting isn't paired within itself.
+    4. Where several classes still meet, nodes are counted out that have too many shingles of
+       their own to link with any other there; then hubs once more, among those left.
+    5. Every other pair that shares a band, could join two classes and isn't ruled out by what
+       both share with their hub is estimated and verified too. The most frequent class of a
+       meeting isn't paired within itself.
 
     No two equal bands are ever capped or skipped; a link is missed only if it shares no band
     or its estimate is off by ``SURE`` errors (below 1e-6 at the threshold for texts of some
@@ -191,38 +242,51 @@ def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, ba
     nodes = pinned(own.join(first, ["node", "key"], "left_semi").dropDuplicates(["node"]).select(
         "node", "key", "n", "filled", "sketch"))
     width = 2 * rows
-    met = nodes.select("node", "n", F.explode(F.transform(
+    places = nodes.select("node", "n", F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda i: F.xxhash64(i, F.substring("sketch", i * width + 1, F.lit(width))))).alias("band"))
+        lambda i: F.xxhash64(i, F.substring("sketch", i * width + 1, F.lit(width)))).alias("bands"))
+    met = places.select("node", "n", F.explode("bands").alias("band"))
     crowd = met.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = pinned(met.join(crowd, "band"))
-    hubs = met.groupBy("node").agg(F.sum("size").alias("reach"))
-    met = pinned(met.select("band", "node", "n").join(hubs, "node"))
-    heads = met.groupBy("band").agg(F.max(F.struct("reach", "node"))["node"].alias("head"))
-    stars = met.join(heads, "band").where("node <> head").select(
-        F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-    sizes = nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n"))
-    pairs = stars.distinct().join(sizes, "a").join(sizes.toDF("b", "b_n"), "b").where(
-        den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n"))
-    pairs = pinned(pairs.select("a", "b"))
-    verify = (nodes, docs, k, num, den, id_col, text_col, broadcast_rows)
-    links = _linked(pairs, *verify)
-    roots = components(links)
-    marked = met.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
-    marked = pinned(marked)
-    mixed_bands = marked.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    usual = marked.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size")).join(
-        mixed_bands.select("band"), "band").groupBy("band").agg(F.max(F.struct("size", "root"))["root"].alias("usual"))
-    marked = marked.join(usual, "band").select("band", "node", "n", "root", (F.col("root") == F.col("usual")).alias("main"))
+    reach = met.groupBy("node").agg(F.sum("size").alias("reach"))
+    met = pinned(met.select("band", "node", "n").join(reach, "node").withColumn("root", F.col("node")))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = pinned(nodes.select("node", "key").join(wanted.select("node").distinct(), "node", "left_semi"))
+        return _sets(docs, wanted, k, id_col, text_col, broadcast_rows)
+
+    tried = pinned(_stars(met, _hubs(met), num, den))
+    likely = pinned(_likely(tried, nodes, num / den))
+    links = _verified(likely, sets_of(likely.select(F.explode(F.array("a", "b")).alias("node"))), num, den)
+
+    met = pinned(_open(_with_roots(met, links)))
+    sets = sets_of(met)
+    met = pinned(_open(met.join(_shared_at_most(sets, num, den), "node")))
+    hubs = pinned(_hubs(met))
+    again = pinned(_stars(met, hubs, num, den).join(tried, ["a", "b"], "left_anti"))
+    links = links.union(_verified(pinned(_likely(again, nodes, num / den)), sets, num, den))
+
+    met = _open(_with_roots(met.join(_around_hubs(met, hubs, sets), "node"), links))
+    met = pinned(met.select("band", "node", "root", "n", "top", "hub", "inside", (F.col("top") - F.col("inside")).alias("outside")))
+    usual = met.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(
+        F.max(F.struct("size", "root"))["root"].alias("usual"))
+    marked = met.join(usual, "band").withColumn("main", F.col("root") == F.col("usual"))
+    marked = marked.join(places.select("node", "bands"), "node").withColumn("before", F.array_position("bands", F.col("band")).cast("int") - 1)
     x, y = marked.where("not main").alias("x"), marked.alias("y")
+    # What two nodes can share: inside their common hub, and outside of it what others have as well.
+    most = F.when(F.col("x.hub") == F.col("y.hub"), F.least("x.inside", "y.inside") + F.least("x.outside", "y.outside"))
+    most = F.least("x.top", "y.top", most)
+    # A pair is made where it first meets.
+    met_before = F.exists(F.zip_with(F.slice("x.bands", F.lit(1), F.col("x.before")), F.slice("y.bands", F.lit(1), F.col("x.before")),
+                                     lambda a, b: a == b), lambda same: same)
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
                   & (F.col("y.main") | (F.col("x.node") < F.col("y.node")))
-                  & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")))
+                  & (den * most >= num * (F.col("x.n") + F.col("y.n") - most)) & ~met_before)
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    links = links.union(_linked(pinned(rest.join(pairs, ["a", "b"], "left_anti")), *verify))
+    rest = pinned(rest.join(tried.union(again), ["a", "b"], "left_anti"))
+    links = links.union(_verified(pinned(_likely(rest, nodes, num / den)), sets, num, den))
 
-    groups = own.groupBy("node").agg(F.min("doc_id").alias("least")).join(components(links), "node", "left")
-    groups = groups.select("node", "least", F.coalesce("root", "node").alias("root"))
+    groups = _with_roots(own.groupBy("node").agg(F.min("doc_id").alias("least")), links)
     groups = groups.join(groups.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     alone = base.where("n = 0").withColumn("component_id", F.col("doc_id"))
     found = own.join(groups, "node").select(*alone.columns).unionByName(alone)
