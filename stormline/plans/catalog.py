@@ -576,7 +576,7 @@ def stream_history(spark, d):
 
 @query
 def last_samples(spark, d):
-    return status.last_samples(A.hourly(spark, d))
+    return status.last_samples(A.dense_panel(spark, d))
 
 
 @query

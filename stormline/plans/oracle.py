@@ -560,9 +560,9 @@ SELECT id, sensor_id, {_ts('occurred_on')}, {_dbl('precip_in')} FROM (
     "stream_status": f"""WITH {ADVISORY_LOG}
 SELECT waterbody, advisory_type, {_ts('poll_time_utc', 'occurred_on')}, poll_id, duration_hr FROM advisory_log
 QUALIFY row_number() OVER (PARTITION BY waterbody, advisory_type ORDER BY advisory_log.poll_time_utc DESC, poll_id DESC) = 1""",
-    "last_samples": f"""WITH {READINGS}
+    "last_samples": f"""WITH {DENSE}
 SELECT sensor_id, {_ts('hour')}, {_dbl('precip')}, CAST(sample_no AS INTEGER) AS sample_no FROM (
-  SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY hour DESC) AS sample_no FROM hourly) WHERE sample_no <= 96""",
+  SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY hour DESC) AS sample_no FROM panel) WHERE sample_no <= 96""",
     "rain_24": f"""WITH {READINGS}
 SELECT sensor_id, CAST(SUM(precip) AS DOUBLE) AS rain_in, COUNT(*) AS samples FROM (
   SELECT * FROM hourly QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY hour DESC) <= 24) GROUP BY sensor_id""",
