@@ -40,11 +40,6 @@ def _with_words(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumn("words", words).withColumn("marks", F.transform("words", lambda w: F.xxhash64(w)))
 
 
-def _sized(side: DataFrame) -> DataFrame:
-    """Broadcast a side of checked size; a larger one is joined by a shuffle."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, key.
@@ -95,11 +90,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = rows.withColumn("mark", F.shiftright("print", PLACE_BITS)).withColumn(
         "place", F.col("print").bitwiseAND(F.lit(2 ** PLACE_BITS - 1)).cast("int"))
     small = prints.count() <= BROADCAST_ROWS
-    found = (rows if small else rows.drop("words")).join(F.broadcast(prints) if small else prints, "mark")
-    found = found.where((F.col("span") > 0) | (F.col("print") == SELF))
-    if not small:
-        texts = rows.where(F.col("print") == SELF).select("key", F.col("n_words").alias("size"), "words")
-        found = found.join(texts.dropDuplicates(["key"]), "key").drop("size")
+    if small:
+        found = rows.join(F.broadcast(prints), "mark").where((F.col("span") > 0) | (F.col("print") == SELF))
+    else:
+        # The documents' own rows, which all have one mark, take no part in the shuffle by marks.
+        own_rows = rows.where(F.col("print") == SELF).withColumn("span", F.lit(0))
+        met = rows.where(F.col("print") != SELF).drop("words").join(prints.where("span > 0"), "mark")
+        texts = own_rows.select("key", "words").dropDuplicates(["key"])
+        found = own_rows.unionByName(met.join(texts, "key"))
     # The windows that hold a fingerprint; the document's own row keeps one empty window.
     first = F.greatest(F.lit(0), F.when(F.col("span") == span, F.col("place") - (span - gram)).otherwise(F.col("place")))
     last = F.least(F.col("place"), F.col("n_words") - F.col("span"))
@@ -108,8 +106,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             s.alias("start"), F.array_join(F.slice("words", s + 1, F.col("span")), " ").alias("window"))))
     found = found.select("doc_id", "key", "n_words", "span", F.explode(around).alias("at")).select(
         "doc_id", "key", "n_words", "span", "at.start", "at.window")
-    known = _sized(windows.select("window").distinct().union(docs.sparkSession.range(1).select(F.lit("").alias("window"))))
-    found = pinned(found.join(known, "window"))
+    known = windows.select("window").distinct()
+    if known.count() <= BROADCAST_ROWS:
+        known = known.union(docs.sparkSession.range(1).select(F.lit("").alias("window")))
+        found = pinned(found.join(F.broadcast(known), "window"))
+    else:
+        found = pinned(found)
+        found = pinned(found.where("start < 0").unionByName(found.where("start >= 0").join(known, "window").select(*found.columns)))
 
     hits = found.where("start >= 0")
     covered = F.aggregate(
@@ -131,5 +134,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, columns as they were."""
+    """The documents without a hit; columns and values as they were, whatever their names.
+
+    Null texts have no hit and stay. Repeated rows stay or go together; an empty table stays empty.
+    """
     return without(docs, decontaminate(docs, benchmark).where("contaminated"))

@@ -8,8 +8,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from stormline.llm import common, decontaminate, ngram_join as ngram_module, toxicity as toxicity_module
 from stormline.llm.line_dedup import duplicate_lines
 from stormline.llm.ngram_join import keep_one, ngram_join
 from stormline.llm.queries import op2_toxicity, vocabulary
@@ -144,3 +146,53 @@ def test_pipeline_stages(spark):
             plain = plain_classes([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
             assert {r["doc_id"] for r in rows.collect()} == {c for _, c in plain.values()}
         docs, before = rows, rows.count()
+
+
+@pytest.mark.parametrize("module,build", [
+    (decontaminate, lambda s, d: decontaminate.decontaminate(d, s.createDataFrame(
+        [("i1", "w1 w2"), ("i2", d.where("doc_id = 5").first()["text"]), ("i3", "")], "item_id string, text string"))),
+    (ngram_module, lambda s, d: ngram_join(d, k=3, num=85)),
+    (common, lambda s, d: keep_one(d)),
+    (toxicity_module, lambda s, d: toxicity_module.toxicity(
+        d, s.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")).select("doc_id", F.round("score", 9))),
+])
+def test_both_ways_of_a_join_agree(spark, monkeypatch, module, build):
+    """What is broadcast when it is counted to be small is shuffled when it isn't."""
+    docs = awkward(spark)
+    order = lambda frame: sorted(map(repr, frame.collect()))
+    small = order(build(spark, docs))
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert order(build(spark, docs)) == small
+
+
+def test_the_model_is_joined_where_it_is_too_large_to_send(spark):
+    docs, marks = awkward(spark), spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    scores = [sorted((repr(r["doc_id"]), round(r["score"], 9)) for r in toxicity_module.toxicity(docs, marks, model_rows=rows).collect())
+              for rows in (2_000_000, 0)]
+    assert scores[0] == scores[1]
+
+
+def test_toxic_expressions_are_learned(spark):
+    rng = random.Random(9)
+    plain, foul = [f"{a}{b}" for a in ("lan", "ter", "mov", "sil") for b in ("der", "ing", "ost", "ar")], ["grukhed", "zwikker", "vrakzul"]
+    docs, marks = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 40))]
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(foul)
+        docs.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    rows = toxicity_module.toxicity(spark.createDataFrame(docs, "doc_id long, text string"),
+                                    spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    held = [(r["predicted"], marks[r["doc_id"]][1]) for r in rows if r["held_out"]]
+    caught, toxic, called = sum(p and t for p, t in held), sum(t for _, t in held), sum(p for p, _ in held)
+    assert toxic > 20 and caught >= 0.95 * toxic and caught >= 0.95 * called
+
+
+def test_one_key_of_own_rows_is_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    docs = spark.range(50).selectExpr("id as doc_id", "concat('only ', id, ' words') as text")
+    bench = spark.createDataFrame([("i", "nothing of this is there")], "item_id string, text string")
+    found = decontaminate.decontaminate(docs, bench)
+    assert found.count() == 50 and found.where("n_hit > 0").count() == 0
