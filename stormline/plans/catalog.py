@@ -190,7 +190,7 @@ def waterbody_files(spark, d):
     path = _folder(spark, "log")
     log = A.waterbody_log(spark, d).withColumn("provisional_on_advisory", payloads.provisional(F.col("rain_24h_in"), F.col("wq_threshold_in")))
     log.select(*WATERBODY_LOG.fieldNames()).write.option("header", True).csv(path)
-    return readers.waterbody_log(spark, path)
+    return readers.waterbody_log(spark, path).drop("rain_24h_in")
 
 
 @query
@@ -232,7 +232,7 @@ def stream_log(spark, d):
 @query
 def log_replay(spark, d):
     # Three batches of a monthly log: one is written twice, and one more breaks off before its mark.
-    rows = A.waterbody_log(spark, d).select("poll_time_utc", "poll_id", "waterbody", "rain_24h_in")
+    rows = A.waterbody_log(spark, d).select("poll_time_utc", "poll_id", "waterbody", "wq_coeff_a")
     path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
     for batch in (0, 1, 1, 2):
         writers.append_monthly(rows.where(F.col("poll_id") % 3 == batch), path, batch)

@@ -598,13 +598,13 @@ WITH polls AS (
 SELECT state, COUNT(*) AS polls, strftime(MIN(poll_time_utc), '%Y-%m-%d %H:%M:%S') AS first_poll,
        strftime(MAX(poll_time_utc), '%Y-%m-%d %H:%M:%S') AS last_poll FROM polls GROUP BY state""",
     "log_replay": f"""WITH {POLLS}
-SELECT {_ts('poll_time_utc')}, poll_id, waterbody, rain_24h_in, strftime(polls.poll_time_utc, '%Y-%m') AS poll_month FROM polls""",
+SELECT {_ts('poll_time_utc')}, poll_id, waterbody, wq_coeff_a, strftime(polls.poll_time_utc, '%Y-%m') AS poll_month FROM polls""",
     "history_rewrite": f"""WITH {KEYED}
 SELECT id, sensor_id, {_ts('occurred_on')}, {_dbl('precip_in')} FROM (SELECT * FROM history UNION ALL SELECT * FROM fresh)""",
     "gauge_files": f"""WITH {KEYED}
 SELECT id, sensor_id, {_ts('occurred_on')}, {_dbl('precip_in')} FROM (SELECT * FROM history UNION ALL SELECT * FROM fresh)""",
     "waterbody_files": f"""WITH {POLLS}
-SELECT {_ts('poll_time_utc')}, waterbody, CAST(substr(waterbody, 3) AS INTEGER) AS wbid, sensor_id, rain_24h_in,
+SELECT {_ts('poll_time_utc')}, waterbody, CAST(substr(waterbody, 3) AS INTEGER) AS wbid, sensor_id,
        {_dbl('wq_threshold_in', 'wq_coeff_a', 'wq_coeff_b')}, 0.1::DOUBLE AS cso_threshold_in,
        COALESCE(rain_24h_in >= wq_threshold_in, FALSE) AS provisional_on_advisory FROM polls""",
     "advisory_files": f"""WITH {ADVISORY_LOG}

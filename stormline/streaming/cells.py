@@ -57,15 +57,14 @@ class CellProcessor(StatefulProcessor):
             place, value = self.entry(row)
             if place not in fresh or self.better(value, fresh[place]):
                 fresh[place] = value
+        held = {tuple(place): tuple(value) for place, value in self._held.iterator()}
         changed = False
         for place, value in fresh.items():
-            held = self._held.getValue(place) if self._held.containsKey(place) else None
-            if held is None or self.better(value, tuple(held)):
+            if place not in held or self.better(value, held[place]):
                 self._held.updateValue(place, value)
-                changed = True
+                held[place], changed = value, True
         if changed:
-            ordered = sorted((tuple(place), tuple(value)) for place, value in self._held.iterator())
-            yield Row(**dict(zip(self.keys, key)), pieces=self.pieces(ordered))
+            yield Row(**dict(zip(self.keys, key)), pieces=self.pieces(sorted(held.items())))
 
     def close(self) -> None:
         pass
