@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stormline.llm.common import row_key, without
 from stormline.llm.components import components
-from stormline.llm.shingles import shingles
+from stormline.llm.shingles import forget, shingles
 from stormline.session import pinned
 
 SLOT_BITS = 24  # the table of how common shingles are has 2 ** 24 bytes, whatever the input
-FLUSH = 4 << 20
+FLUSH = 2 << 20
 BROADCAST_ROWS = 1_000_000
 
 
@@ -57,6 +57,7 @@ def commonness(docs: DataFrame, k: int, text_col: str) -> bytes:
                     held, size = [], 0
         if size:
             yield sent()
+        forget()
 
     def add(rows):
         marks = np.concatenate([np.frombuffer(m, dtype="<u4") for m in rows["marks"]])
@@ -102,6 +103,7 @@ def _summaries(rows: DataFrame, k: int, num: int, den: int, table) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.array(nodes, type=pa.int64()),
                  pa.array(rares, type=pa.int64()), lists], names=["key", "n", "node", "rare", "prefix"])
+        forget()
 
     return rows.select("key", "text").mapInArrow(sum_up, "key long, n long, node long, rare long, prefix array<bigint>")
 
@@ -118,6 +120,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     pa.array(np.cumsum([0] + [len(p) for p in own]), type=pa.int32()),
                     pa.array(np.concatenate(own), type=pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["node", "marks"])
+        forget()
 
     few = wanted.count() <= BROADCAST_ROWS
     found = rows.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key")
@@ -167,6 +170,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     table = spark.sparkContext.broadcast(commonness(docs, k, text_col))
     base = pinned(_summaries(rows, k, num, den, table).select(
         "key", "n", "node", "rare", F.xxhash64("n", "prefix").alias("gid"), "prefix"))
+    table.destroy()
     nodes = pinned(base.where("n > 0").groupBy("node").agg(
         F.first("gid").alias("gid"), F.first("n").alias("n"), F.min("rare").alias("rare"), F.min("key").alias("key")))
     groups = base.where("n > 0").groupBy("gid").agg(

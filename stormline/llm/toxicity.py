@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stormline.llm.common import packed
 from stormline.session import pinned
 
 ORDER, DISCOUNT, LETTERS = 5, 0.75, 300  # characters of a gram, absolute discount, size of the uniform floor
@@ -19,6 +21,7 @@ SAMPLE = 20_000  # most labelled rows that the two weights of the decision are f
 BROADCAST_ROWS = 1_000_000
 MODEL_ROWS = 2_000_000  # a larger model is joined by shuffles instead
 FLUSH = 200_000
+TOGETHER = 100_000  # words that are looked up at once
 START, STOP, REST = "\x02", "\x03", "\x04"
 _SPACES = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 
@@ -143,52 +146,83 @@ def _entries(grams: DataFrame) -> DataFrame:
         contexts.select(F.concat("context", F.lit(REST)).alias("gram"), *ratio(weight)))
 
 
-class _Ratios(dict):
-    """Log ratios of words; forgotten when too many are held."""
+class _Ratios:
+    """Log ratios of words, from sorted hashes of grams and their values.
 
-    most = 300_000
-
-    def __init__(self, grams: dict[str, float]):
-        super().__init__()
-        self.grams = grams
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= self.most:
-            self.clear()
-        total, grams = 0.0, self.grams
-        for i in range(1, len(word)):
-            first = max(0, i - ORDER + 1)
-            value = grams.get(word[first:i + 1])
-            total += grams.get(word[first:i] + REST, 0.0) if value is None else value
-        self[word] = total
-        return total
-
-
-_READY: dict[str, _Ratios] = {}
+    Sixteen bytes a gram; words already measured are remembered for the time of a task,
+    and forgotten when too many are held.
+    """
 
+    most = 300_000
 
-def _ratios(model: str, shared) -> _Ratios:
-    """One model at a time in a worker process."""
-    if model not in _READY:
-        _READY.clear()
-        _READY[model] = _Ratios(dict(zip(*shared.value)))
-    return _READY[model]
+    def __init__(self, marks: np.ndarray, values: np.ndarray):
+        self.marks, self.values = marks, values
+        self.words: dict[str, float] = {}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Measure the words of some texts that aren't known yet, all at once."""
+        words = set().union(*texts)
+        new = list(words - self.words.keys())
+        if len(self.words) + len(new) > self.most:
+            self.words.clear()
+            new = list(words)
+        if new:
+            self.words.update(zip(new, self._measured(new)))
+
+    def _measured(self, words: list[str]) -> list[float]:
+        grams = [w[max(0, i - ORDER + 1):i + 1] for w in words for i in range(1, len(w))]
+        held = self._looked_up(set(grams))
+        held.update(self._rests(set(grams) - held.keys()))
+        values = np.array([held.get(g, 0.0) for g in grams])
+        return np.add.reduceat(values, np.cumsum([0] + [len(w) - 1 for w in words[:-1]])).tolist()
+
+    def _rests(self, grams: set[str]) -> dict[str, float]:
+        """What unseen grams get from the backoff weights of their contexts."""
+        known = self._looked_up({g[:-1] + REST for g in grams})
+        return {g: known[g[:-1] + REST] for g in grams if g[:-1] + REST in known}
+
+    def _looked_up(self, grams: set[str]) -> dict[str, float]:
+        """Values of the grams that the model has."""
+        if not len(self.marks) or not grams:
+            return {}
+        asked = list(grams)
+        marks = np.array([xxhash.xxh64_intdigest(g.encode(), seed=42) for g in asked], dtype=np.uint64)
+        order = np.argsort(marks)  # in order, so that the search stays near where it was
+        marks = marks[order]
+        at = np.minimum(np.searchsorted(self.marks, marks), len(self.marks) - 1)
+        hits = np.flatnonzero(self.marks[at] == marks)
+        return {asked[i]: value for i, value in zip(order[hits].tolist(), self.values[at[hits]].tolist())}
 
 
 def _scanned(rows: DataFrame, text: str, entries: DataFrame, which: str, small: bool) -> DataFrame:
     """``rows`` with _mean and _top: the mean log ratio of the text's expressions, and the highest."""
     if small:
-        got, model = entries.select("gram", which).toPandas(), uuid.uuid4().hex
-        shared = rows.sparkSession.sparkContext.broadcast((got["gram"].tolist(), got[which].tolist()))
+        # Spark's hash of a text is xxHash64 with seed 42.
+        got = entries.select(F.xxhash64("gram").alias("mark"), F.col(which).alias("value")).toPandas()
+        marks = got["mark"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(marks)
+        shared = rows.sparkSession.sparkContext.broadcast((marks[order], got["value"].to_numpy(dtype=np.float64)[order]))
 
         @F.pandas_udf("mean double, top double")
-        def measure(texts: pd.Series) -> pd.DataFrame:
-            known = _ratios(model, shared)
-            out = []
-            for one in texts:
-                values = [known[w] for w in expressions(one)]
-                out.append((sum(values) / len(values), max(0.0, max(values))) if values else (0.0, 0.0))
-            return pd.DataFrame(out, columns=["mean", "top"])
+        def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            known = _Ratios(*shared.value)
+            for texts in batches:
+                out, held, size = [], [], 0
+
+                def weigh() -> None:
+                    known.learn(held)
+                    for words in held:
+                        values = [known.words[w] for w in words]
+                        out.append((sum(values) / len(values), max(0.0, max(values))) if values else (0.0, 0.0))
+
+                for one in texts:
+                    held.append(expressions(one))
+                    size += len(held[-1])
+                    if size >= TOGETHER:
+                        weigh()
+                        held, size = [], 0
+                weigh()
+                yield pd.DataFrame(out, columns=["mean", "top"])
 
         return rows.withColumn("_m", measure(F.col(text).cast("string"))).withColumns(
             {"_mean": F.col("_m.mean"), "_top": F.col("_m.top")}).drop("_m")
@@ -283,5 +317,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with a score below 0.5, columns as they were."""
-    return fit_toxicity(docs, labels, id_col, text_col).scored(docs, text_col, "_score").where("_score < 0.5").drop("_score")
+    """The documents with a score below 0.5; columns and values as they were, whatever their names.
+
+    Null and empty texts score as texts without evidence. Repeated rows stay or go together;
+    an empty table stays empty.
+    """
+    rows = packed(docs, text=F.col(text_col).cast("string"))
+    return fit_toxicity(docs, labels, id_col, text_col).scored(rows).where("score < 0.5").select("row.*")
