@@ -114,7 +114,11 @@ class Lexicon:
 
 
 def lexicon_words(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> list[str]:
-    """The most frequent words of all texts, ``words`` of them at most and none above ``LONGEST`` bytes."""
+    """The most frequent words of all texts, ``words`` of them at most and none above ``LONGEST`` bytes.
+
+    Words are cut off at a step of the logarithm of their count, found on a count per step, so
+    that no task sends a list of its own to the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -133,8 +137,16 @@ def lexicon_words(docs: DataFrame, text_col: str = "text", words: int = WORDS) -
         yield sent()
 
     found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, times long")
-    found = found.groupBy("word").agg(F.sum("times").alias("times"))
-    return [r["word"] for r in found.orderBy(F.desc("times"), "word").limit(words).select("word").collect()]
+    step = F.floor(64 * F.log2(F.sum("times"))).cast("int")
+    found = pinned(found.groupBy("word").agg(step.alias("step")))
+    taken, lowest = 0, None
+    for row in found.groupBy("step").count().orderBy(F.desc("step")).collect():  # some thousand steps at most
+        if taken + row["count"] > words:
+            break
+        taken, lowest = taken + row["count"], row["step"]
+    if lowest is None:
+        return []
+    return sorted(r["word"] for r in found.where(F.col("step") >= lowest).select("word").collect())
 
 
 def hashed_features(docs: DataFrame, words: list[str], buckets: int, low: int, high: int, id_col: str,
