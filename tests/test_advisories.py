@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stormline.operators import advisories, panel, params, storms
 from stormline.plans import workflows
+from stormline.plans.catalog import QUERIES
 from tests.conftest import at, hours
 
 STORM = "sensor_id string, start timestamp, end timestamp, depth decimal(18,4), peak decimal(12,4)"
@@ -118,3 +119,20 @@ def test_masked_hours_are_not_reliable(spark):
     kept = {r[0]: r[1] for r in panel.reliable_hours(controlled).collect()}
     assert kept["p"] == kept["q"] == 24 * 80 and kept["r"] < 24 * 80
     assert storms.storms(controlled).where(F.col("depth") > 5).count() == 0
+
+
+@pytest.fixture(scope="module")
+def low_tables(spark, tmp_path_factory):
+    """A gauge of 0.3 inch and its waterbody, whose threshold of 0.1 is met and whose coefficient is 40 whole hours."""
+    folder = str(tmp_path_factory.mktemp("low"))
+    events = [(1, at(0), 7, "click", 30.0), (2, at(9), 7, "error", 0.0)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(
+        f"{folder}/events.parquet")
+    line = [(1, 1, 7, at(0), 500.0, 0.1, 40.0, 0.5)]
+    spark.createDataFrame(line, "l_orderkey long, l_linenumber int, l_suppkey long, l_shipdate timestamp_ntz, l_extendedprice double, "
+                                "l_tax double, l_quantity double, l_discount double").write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def test_triggered_query_keeps_storms_over_a_tenth_per_line(spark, low_tables):
+    assert [r["depth"] for r in QUERIES["triggered"](spark, low_tables).collect()] == [0.3]
