@@ -136,3 +136,8 @@ def low_tables(spark, tmp_path_factory):
 
 def test_triggered_query_keeps_storms_over_a_tenth_per_line(spark, low_tables):
     assert [r["depth"] for r in QUERIES["triggered"](spark, low_tables).collect()] == [0.3]
+
+
+def test_advisory_until_query_uses_whole_coefficients(spark, low_tables):
+    # ceil(40 * 0.3 ** 1.0)
+    assert [r["hours"] for r in QUERIES["advisory_until"](spark, low_tables).collect()] == [12]
