@@ -141,3 +141,7 @@ def test_triggered_query_keeps_storms_over_a_tenth_per_line(spark, low_tables):
 def test_advisory_until_query_uses_whole_coefficients(spark, low_tables):
     # ceil(40 * 0.3 ** 1.0)
     assert [r["hours"] for r in QUERIES["advisory_until"](spark, low_tables).collect()] == [12]
+
+
+def test_live_check_query_finds_the_long_episode(spark, low_tables):
+    assert [r["episode_until"] for r in QUERIES["live_check"](spark, low_tables).collect()] == ["2024-01-01 12:00:00"]
