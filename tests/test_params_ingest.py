@@ -106,3 +106,16 @@ def test_gaps_in_hours(spark):
     df = spark.createDataFrame([("a", at(h)) for h in (0, 1, 4, 800, 801)] + [("b", at(900))], "sensor_id string, hour timestamp")
     got = sorted((r["sensor_id"], hours(r["from_hour"]), hours(r["to_hour"]), r["step_hours"]) for r in ingest.continuity_gaps(df).collect())
     assert got == [("a", 1, 4, 3), ("a", 4, 800, 796)]
+
+
+def test_config_texts_are_parsed_once(spark):
+    df = spark.createDataFrame([("w", at(0), "{}")], "config_key string, poll_time_utc timestamp, payload string").repartition(2)
+    plan = params.config_changes(df, ["config_key"])._jdf.queryExecution().executedPlan().toString()
+    # One in each of the two parts that read the same shuffle.
+    assert plan.count("ArrowEvalPython") == 2
+
+
+def test_volatile_keys_go_at_every_depth():
+    one = '{"a": [{"createdOn": 1, "b": {"$type": 2, "c": 3}}], "activeSensor": {"x": 1}}'
+    assert params._digest(one) == params._digest('{"a":[{"b":{"c":3}}]}') != params._digest('{"a":[{"b":{"c":4}}]}')
+    assert params._digest("{") is None and params._digest(None) is None
