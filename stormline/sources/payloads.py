@@ -38,15 +38,13 @@ def _objects(polls: DataFrame, schema: T.StructType) -> DataFrame:
     return polls.select("poll_time_utc", F.explode(listed).alias("o")).where("o is not null")
 
 
-def poll_state(payload: Column, schema: T.StructType) -> Column:
-    """What became of a poll: ``missing``, ``unparsed``, ``not a list``, ``empty``, ``partly read`` or ``read``.
+def poll_state(polls: DataFrame, schema: T.StructType, name: str = "state") -> DataFrame:
+    """Adds what became of a poll: ``missing``, ``unparsed``, ``not a list``, ``empty``, ``partly read`` or ``read``.
 
     Partly read: some entries of the list aren't objects, or have a field of another type than
-    the schema's, so a row or a field of it is lost.
+    the schema's, so a row or a field of it is lost. The parsed page is a column that all
+    tests read, so a payload is parsed once.
     """
-    page = F.try_parse_json(payload)
-    entries = F.try_variant_get(page, "$", "array<variant>")
-
     def lost(entry: Column) -> Column:
         wrong = ~F.schema_of_variant(entry).startswith("OBJECT")
         for field in schema.fields:
@@ -55,8 +53,13 @@ def poll_state(payload: Column, schema: T.StructType) -> Column:
             wrong = wrong | (there & F.try_variant_get(entry, f"$.{field.name}", field.dataType.simpleString()).isNull())
         return wrong
 
-    return (F.when(payload.isNull(), "missing").when(page.isNull(), "unparsed").when(entries.isNull(), "not a list")
-            .when(F.size(entries) == 0, "empty").when(F.exists(entries, lost), "partly read").otherwise("read"))
+    entries = F.col("_entries")
+    state = (F.when(F.col("payload").isNull(), "missing").when(F.col("_page").isNull(), "unparsed")
+             .when(entries.isNull(), "not a list").when(F.size(entries) == 0, "empty")
+             .when(F.exists(entries, lost), "partly read").otherwise("read"))
+    return (polls.withColumn("_page", F.try_parse_json("payload"))
+            .withColumn("_entries", F.try_variant_get("_page", "$", "array<variant>"))
+            .withColumn(name, state).drop("_page", "_entries"))
 
 
 def poll_quality(polls: DataFrame, schema: T.StructType, by: Sequence[str] = ()) -> DataFrame:
@@ -64,7 +67,7 @@ def poll_quality(polls: DataFrame, schema: T.StructType, by: Sequence[str] = ())
 
     The flattening operators pass over what they can't read; this is where it is counted.
     """
-    state = polls.select(*by, "poll_time_utc", poll_state(F.col("payload"), schema).alias("state"))
+    state = poll_state(polls, schema).select(*by, "poll_time_utc", "state")
     return state.groupBy(*by, "state").agg(
         F.count(F.lit(1)).alias("polls"), F.min("poll_time_utc").alias("first_poll"), F.max("poll_time_utc").alias("last_poll"))
 
@@ -74,9 +77,8 @@ def watched(polls: DataFrame, schema: T.StructType, name: str | Observation) ->
 
     With a name, a stream reports the counters as observed metrics of each micro-batch.
     """
-    state = poll_state(F.col("payload"), schema)
-    lost = [F.count_if(state == s).alias(s.replace(" ", "_")) for s in ("missing", "unparsed", "not a list", "partly read")]
-    return polls.observe(name, F.count(F.lit(1)).alias("polls"), *lost)
+    lost = [F.count_if(F.col("_state") == s).alias(s.replace(" ", "_")) for s in ("missing", "unparsed", "not a list", "partly read")]
+    return poll_state(polls, schema, "_state").observe(name, F.count(F.lit(1)).alias("polls"), *lost).drop("_state")
 
 
 def waterbody_rows(polls: DataFrame) -> DataFrame:

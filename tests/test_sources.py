@@ -151,3 +151,9 @@ def test_history_is_sorted_in_a_new_version(spark, tmp_path):
 def test_filing_sheet_keeps_text(spark, tmp_path):
     (tmp_path / "s.csv").write_text('Facility Name,Reason\n"A ""x""","two\nlines"\n')
     assert readers.filing_sheet(spark, str(tmp_path / "s.csv")).count() == 1
+
+
+def test_watched_polls_are_parsed_once(spark):
+    df = spark.createDataFrame([(at(0), "[{}]")], "poll_time_utc timestamp, payload string")
+    plan = payloads.watched(df, WATERBODY_OBJECT, "polls")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
