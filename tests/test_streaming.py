@@ -5,14 +5,16 @@ import random
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
+from stormline.functions.clock import HOUR
 from stormline.operators import params, storms
 from stormline.operators.panel import dedup_hours
+from stormline.plans import adapters as A
 from stormline.streaming import history, polls
 from stormline.streaming.cells import PROVIDER
 from stormline.streaming.config import current_changes, keep_config_changes
-from stormline.streaming.storms import current_storms, keep_storms
+from stormline.streaming.storms import StormCells, current_storms, keep_storms
 from tests.conftest import at, hours
 
 READING = "id string, sensor_id string, occurred_on timestamp, precip_in decimal(12,4)"
@@ -183,3 +185,40 @@ def test_config_stream_follows_late_snapshots(spark, tmp_path):
     assert found() == [0, 5, 10, 20]
     feed(spark, tmp_path, schema, [[("k", at(15), 5, doc(2))]], start)
     assert found() == [0, 5, 10, 15]
+
+
+def test_landed_files_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(A, "ROWS_A_FILE", 50)
+    rows = spark.range(1000).select(F.timestamp_seconds("id").alias("t"), "id")
+    arriving, folder = A.landed(rows, "t")
+    files = [r["count"] for r in spark.read.parquet(f"{folder}/in").groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) == 1000 and max(files) < 150
+    done = arriving.writeStream.format("noop").trigger(availableNow=True).option("checkpointLocation", f"{folder}/c").start()
+    done.awaitTermination()
+    assert len([p for p in done.recentProgress if p.numInputRows]) == 4
+
+
+class FakeList(list):
+    calls = 0
+
+    def get(self):
+        return iter(list(self))
+
+    def appendList(self, rows):
+        self.calls += 1
+        self.extend(rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self[:] = rows
+
+
+def test_a_cell_writes_its_state_once_a_micro_batch():
+    cell, state = StormCells(6 * HOUR), FakeList()
+    cell._held = state
+    rows = [Row(at=h * HOUR, id="b", precip=Decimal(1)) for h in range(100)]
+    assert len(list(cell.handleInputRows(("g", 0), iter(rows), None))) == 1 and state.calls == 1
+    assert not list(cell.handleInputRows(("g", 0), iter(rows), None)) and state.calls == 1
+    smaller = [Row(at=0, id="a", precip=Decimal(5))]
+    [out] = cell.handleInputRows(("g", 0), iter(smaller), None)
+    assert state.calls == 2 and len(state) == 100 and out["pieces"][0]["peak"] == 5
