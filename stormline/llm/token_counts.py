@@ -122,7 +122,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         if rows["kind"].iloc[0] == DOCS:
             return rows
         lists = [_inflate(data).split(b"\n") for data in rows["data"]]
-        known = {piece: len(ids) for piece, ids in encoder(tokenizer).ids(set().union(*lists)).items()}
+        known = {piece: len(ids) // 2 for piece, ids in encoder(tokenizer).ids(set().union(*lists)).items()}
         rows = rows.assign(kind="counts", route=-1 - rows["block"])
         rows["data"] = [_deflate(np.array([known[p] for p in own], dtype="<u4").tobytes()) for own in lists]
         return rows

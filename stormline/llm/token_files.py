@@ -61,6 +61,15 @@ class EliasFano:
             low &= (1 << self.low_bits) - 1
         return ((self.select(i) - i) << self.low_bits) | low
 
+    def first(self, count: int) -> np.ndarray:
+        """The first ``count`` values, all at once."""
+        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:count]
+        values = (ones - np.arange(count)) << self.low_bits
+        if self.low_bits:
+            bits = np.unpackbits(self.low, bitorder="little")[:count * self.low_bits].reshape(count, self.low_bits)
+            values |= bits.astype("<i8") @ (1 << np.arange(self.low_bits))
+        return values
+
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id",
                       text_col: str = "text") -> None:
@@ -124,15 +133,16 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 count = row["n_docs"]
                 marks = EliasFano(row["low_bits"], row["low"], row["high"], row["samples"])
-                edges = [marks[i] for i in range(count + 1)]
-                ids = np.frombuffer(row["ids"], dtype="<u2").astype("<u4")
+                edges = marks.first(count + 1)
+                ids = memoryview(np.frombuffer(row["ids"], dtype="<u2").astype("<u4").tobytes())
+                ends = (4 * edges).tolist()
                 keys = np.frombuffer(row["keys"], dtype="<i8", count=count)
                 null = np.frombuffer(row["keys"], dtype="u1", offset=8 * count).astype(bool)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["part"]] * count, type=pa.int32()), pa.array(keys, type=pa.int64(), mask=null),
-                    pa.array([row["before"] + e for e in edges[:-1]], type=pa.int64()),
+                    pa.array(row["before"] + edges[:-1], type=pa.int64()),
                     pa.array(np.diff(edges), type=pa.int64()),
-                    pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edges, edges[1:])], type=pa.int64()),
+                    pa.array([zlib.crc32(ids[a:b]) for a, b in zip(ends, ends[1:])], type=pa.int64()),
                 ], names=["part", "doc_id", "local", "n_tokens", "ids_crc32"])
 
     # One row per partition of the writer.

@@ -5,15 +5,16 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 import numpy as np
 
 # The vocabulary's own rule for cutting pre-tokens, and a class of pieces to which that rule
 # can be applied without the library: letters of ASCII and Latin-1, then ASCII marks without the apostrophe.
 CUT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-LINE = 256  # pieces given to the library as one text
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LINE = 256  # words or marks given to the library as one text
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -45,32 +46,34 @@ class PieceEncoder:
         self.model.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
-    def ids(self, wanted: Iterable[bytes]) -> dict[bytes, list[int]]:
-        found: dict[bytes, list[int]] = {}
-        plain, other = [], []
+    def ids(self, wanted: Iterable[bytes], known: Mapping[bytes, bytes] | None = None) -> dict[bytes, bytes]:
+        """The ids of each piece, as 16-bit little-endian bytes; those of its word and marks are taken from ``known``.
+
+        Words and marks are returned too: pieces that differ in marks alone share their word.
+        """
+        found, cut = {}, []
         for piece in wanted:
-            text = piece.decode()
-            match = PLAIN.fullmatch(text)
-            if match:
-                plain.append((piece, match[1].lower(), match[2]))
+            word = piece.rstrip(MARKS)
+            if word.isalpha() or LETTERS.fullmatch(word):
+                cut.append((piece, word, piece[len(word):]))
             else:
-                other.append((piece, text))
-        for k in range(0, len(plain), LINE):
-            words, owner = [], []
-            for i, (_, word, marks) in enumerate(plain[k:k + LINE]):
-                words.append(word)
-                owner.append(i)
-                if marks:
-                    words.append(marks)
-                    owner.append(i)
-            code = self.model.encode(" ".join(words), add_special_tokens=False)
-            lists: list[list[int]] = [[] for _ in range(min(LINE, len(plain) - k))]
-            for at, word_id in zip(code.ids, code.word_ids):
-                lists[owner[word_id]].append(at)
-            for (piece, _, _), own in zip(plain[k:k + LINE], lists):
-                found[piece] = own
-        for piece, text in other:
-            found[piece] = self.library.encode(text, add_special_tokens=False).ids
+                own = self.library.encode(piece.decode(), add_special_tokens=False).ids
+                found[piece] = np.array(own, dtype="<u2").tobytes()
+        parts = {word for _, word, _ in cut}.union({marks for _, _, marks in cut if marks})
+        if known:
+            found.update((part, known[part]) for part in parts if part in known)
+        new = list(parts.difference(found))
+        for k in range(0, len(new), LINE):
+            line = new[k:k + LINE]
+            code = self.model.encode(b" ".join(line).decode().lower(), add_special_tokens=False)
+            data, start = np.array(code.ids, dtype="<u2").tobytes(), 0
+            ends = 2 * np.cumsum(np.bincount(np.array(code.word_ids, dtype="<i8"), minlength=len(line)))
+            for part, end in zip(line, ends.tolist()):
+                found[part] = data[start:end]
+                start = end
+        for piece, word, marks in cut:
+            if marks:
+                found[piece] = found[word] + found[marks]
         return found
 
 
@@ -84,19 +87,21 @@ def encoder(path: str) -> PieceEncoder:
 class Memo:
     """Ids of pieces as 16-bit little-endian bytes; forgotten when ``most`` pieces are held."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         self.source, self.most, self.held = encoder(path), most, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [pieces(text) for text in texts]
-        missing = set().union(*cut).difference(self.held)
-        if len(self.held) + len(missing) > self.most:
-            self.held.clear()
-            missing = set().union(*cut)
-        for piece, ids in self.source.ids(missing).items():
-            self.held[piece] = np.array(ids, dtype="<u2").tobytes()
-        held = self.held
-        return [b"".join([held[p] for p in one]) for one in cut]
+        found = [list(map(self.held.get, one)) for one in cut]
+        missing = {p for one, own in zip(cut, found) if None in own for p, ids in zip(one, own) if ids is None}
+        if missing:
+            new = self.source.ids(missing, self.held)
+            if len(self.held) + len(new) > self.most:
+                self.held.clear()
+            self.held.update(new)
+            found = [[new[p] if ids is None else ids for p, ids in zip(one, own)] if None in own else own
+                     for one, own in zip(cut, found)]
+        return [b"".join(own) for own in found]
 
 
 _MEMOS: dict[str, Memo] = {}
