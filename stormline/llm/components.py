@@ -25,7 +25,9 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
             .alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = pinned(small)
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        # Both are sets of edges; one aggregate finds an edge that only one of them has.
+        held = new.withColumn("side", F.lit(1)).union(edges.withColumn("side", F.lit(-1)))
+        if held.groupBy("u", "v").agg(F.sum("side").alias("side")).where("side <> 0").isEmpty():
             return new.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         edges = new

@@ -12,7 +12,7 @@ from stormline.session import pinned
 SIDES = ("source", "lang", "topic")
 # Share of a value in the target: in proportion to its tokens to this power. Below 1, large values give to small ones.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-ROUNDS, PART = 10, 5
+ROUNDS = 10
 
 
 def topic_of(text: Column, tokens: Column) -> Column:
@@ -26,23 +26,24 @@ def rake(cells: DataFrame, powers: Mapping[str, float] = POWERS, rounds: int = R
 
     Each step scales the weights of a side's values to their targets; a round takes every
     side once. A step is one window sum over cells, of which there are as many as
-    combinations of values, not documents.
+    combinations of values, not documents. Each round is written, and targets are taken from the
+    given cells, so that no plan holds more than one round.
     """
-    total = cells.agg(F.sum("tokens").alias("total"))
+    given = cells
+    total = given.agg(F.sum("tokens").alias("total"))
     for side, power in powers.items():
-        share = cells.groupBy(side).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("share"))
+        share = given.groupBy(side).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("share"))
         norm = share.agg(F.sum("share").alias("norm"))
         # One row each: the sums of a side.
         share = share.join(F.broadcast(norm)).join(F.broadcast(total)).select(
             F.col(side).alias("_value"), (F.col("share") / F.col("norm") * F.col("total")).alias(f"_{side}"))
         cells = cells.join(share, F.col(side).eqNullSafe(F.col("_value"))).drop("_value")
     cells = pinned(cells.withColumn("weight", F.col("tokens").cast("double")))
-    for done in range(rounds):
+    for _ in range(rounds):
         for side in powers:
             now = F.sum("weight").over(Window.partitionBy(side))
             cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"_{side}") / now).otherwise(0.0))
-        if (done + 1) % PART == 0:
-            cells = pinned(cells)
+        cells = pinned(cells)
     return cells.drop(*[f"_{side}" for side in powers])
 
 

@@ -70,13 +70,16 @@ def commonness(docs: DataFrame, k: int, text_col: str) -> bytes:
         np.maximum.at(table, slots, np.floor(np.log2(total)).astype("u1"))
         return rows.iloc[:1][["route"]].assign(table=[table.tobytes()])
 
+    # As Arrow: the pickled rows of a plain collect would hold the table several times in the driver.
     parts = (docs.select(F.col(text_col).cast("string").alias("text"))
              .mapInArrow(count, "route int, marks binary, times binary").groupBy("route")
-             .applyInPandas(add, "route int, table binary").collect())
+             .applyInPandas(add, "route int, table binary").toArrow())
     table = np.zeros(1 << SLOT_BITS, dtype="u1")
     width = 1 << (SLOT_BITS - bits)
-    for part in parts:
-        table[part["route"] * width:(part["route"] + 1) * width] = np.frombuffer(part["table"], dtype="u1")
+    for route, part in zip(parts.column("route"), parts.column("table")):
+        first = route.as_py() * width
+        table[first:first + width] = np.frombuffer(part.as_buffer(), dtype="u1")
+    del parts
     return table.tobytes()
 
 

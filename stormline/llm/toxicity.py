@@ -198,10 +198,12 @@ def _scanned(rows: DataFrame, text: str, entries: DataFrame, which: str, small:
     """``rows`` with _mean and _top: the mean log ratio of the text's expressions, and the highest."""
     if small:
         # Spark's hash of a text is xxHash64 with seed 42.
-        got = entries.select(F.xxhash64("gram").alias("mark"), F.col(which).alias("value")).toPandas()
-        marks = got["mark"].to_numpy(dtype=np.int64).view(np.uint64)
+        # As Arrow: a plain collect would make a Python row of every gram.
+        got = entries.select(F.xxhash64("gram").alias("mark"), F.col(which).alias("value")).toArrow()
+        marks, values = got["mark"].to_numpy().view(np.uint64), got["value"].to_numpy()
         order = np.argsort(marks)
-        shared = rows.sparkSession.sparkContext.broadcast((marks[order], got["value"].to_numpy(dtype=np.float64)[order]))
+        shared = rows.sparkSession.sparkContext.broadcast((marks[order], values[order]))
+        del got, marks, values, order
 
         @F.pandas_udf("mean double, top double")
         def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -294,11 +296,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     entries = pinned(_entries(_gram_counts(rows)))
     small = entries.count() <= model_rows
     held = rows.where("fold = 4").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).select("text", "toxic")
-    sample = _scanned(held, "text", entries, "a", small).select("_mean", "_top", "toxic").toPandas()
+    sample = _scanned(held, "text", entries, "a", small).select("_mean", "_top", "toxic").toArrow()
     y = (sample["toxic"].to_numpy() > 0).astype(float)
     weights = np.array([-9.0, 0.0, 1.0])
     if 0 < y.sum() < len(y):
-        weights = _logistic(sample[["_mean", "_top"]].to_numpy(), y)
+        weights = _logistic(np.c_[sample["_mean"].to_numpy(), sample["_top"].to_numpy()], y)
     return ToxicityModel(entries, small, tuple(float(w) for w in weights))
 
 
