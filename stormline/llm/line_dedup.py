@@ -2,42 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import uuid
 
-from stormline.llm.common import WORDS, ascii_lower, packed, row_key, whole_text
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from stormline.llm.common import ascii_lower, packed, row_key, whole_text
 from stormline.session import pinned
 
-TIERS = (64, 512, 4096)  # the most frequent words, in classes; the list is bounded by the last
 BROADCAST_ROWS = 1_000_000
+SLOTS = 22  # bits; words are counted in so many slots, by hash
+HASH = 26  # bits of a word's mark beside its level
+HOT = 22  # words of this level and above, of 2,048 lines and more, have every line compared with the first ones before all others
+# Room for the distinct words of a file, so that each is written once.
+DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
+
+
+def _words(line: Column) -> Column:
+    """Sorted hashes of the distinct words, lower-cased as ``ascii_lower`` does."""
+    for space in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+
+    def number(word: Column) -> Column:
+        # On ASCII alone the general function gives the same and is far faster.
+        plain = F.octet_length(word) == F.char_length(word)
+        return F.xxhash64(F.when(plain, F.lower(word)).otherwise(ascii_lower(word)))
+
+    found = F.array_distinct(F.transform(F.split(line, " "), number))
+    return F.sort_array(F.array_remove(found, F.xxhash64(F.lit(""))))
+
+
+def _held(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key, n_lines, line_no from 0, tokens, n, node: every line by its words, so that texts are read once."""
+    parts = F.split(whole_text(text_col), "\n")
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.size(parts).alias("n_lines"),
+                       parts.alias("parts"))
+    rows = rows.select("doc_id", "key", "n_lines", F.posexplode("parts").alias("line_no", "line"))
+    rows = rows.select("doc_id", "key", "n_lines", "line_no", _words(F.col("line")).alias("tokens"))
+    return pinned(rows.select("*", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("node")), **DICTIONARY)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key (of the document), line_no from 0, words (lower-cased, in order)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"),
-                       F.posexplode(F.split(whole_text(text_col), "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "key", "line_no", F.regexp_extract_all(ascii_lower(F.col("line")), F.lit(WORDS), F.lit(0))
-                       .alias("words"))
+def _placed(held: DataFrame) -> DataFrame:
+    """``held`` with ``at``, one number a line in order of doc_id, key and line_no."""
+    ids = held.where("line_no = 0").select("doc_id", "key").distinct().repartitionByRange("doc_id", "key")
+    ids = pinned(ids.sortWithinPartitions("doc_id", "key").select(
+        "key", F.spark_partition_id().cast("long").alias("part"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row")))
+    n, most = ids.agg(F.count(F.lit(1)), F.max("row")).first()
+    ids = ids.select("key", F.shiftleft("part", (most or 0).bit_length()).bitwiseOR(F.col("row")).alias("no"))
+    at = F.shiftleft("no", 31).bitwiseOR(F.col("line_no").cast("long"))
+    return held.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "key").select("key", "line_no", at.alias("at"), "n", "node", "tokens")
 
 
-def _tiers(lines: DataFrame) -> list[list[int]]:
-    """Hashes of the most frequent words over all documents, one list a tier."""
-    counts = lines.select(F.explode("words").alias("word")).groupBy(F.xxhash64("word").alias("mark")).count()
-    top = [r["mark"] for r in counts.orderBy(F.desc("count"), "mark").limit(TIERS[-1]).collect()]
-    edges = (0, *TIERS)
-    return [top[a:b] for a, b in zip(edges, edges[1:])]
+def _slot(token: Column) -> Column:
+    return token.bitwiseAND((1 << SLOTS) - 1).cast("int")
 
 
-def _tokens(lines: DataFrame, tiers: list[list[int]]) -> DataFrame:
-    """``lines`` with tokens: their distinct words, rare ones first, as numbers that sort in that order."""
-    def token(word):
-        mark = F.xxhash64(word)
-        tier = F.lit(0)
-        for k, own in enumerate(reversed(tiers), 1):
-            if own:
-                tier = F.when(mark.isin(own), k).otherwise(tier)
-        return F.shiftleft(tier.cast("long"), 60).bitwiseOR(F.shiftrightunsigned(mark, 4))
+def _levels(held: DataFrame) -> np.ndarray:
+    """Twice the logarithm of each slot's count of lines; 0 where one line alone has a word of it.
 
-    return lines.withColumn("tokens", F.sort_array(F.array_distinct(F.transform("words", token)))).drop("words")
+    A slot counts its words together, so a word's own count is never larger.
+    """
+    counts = held.select(F.explode("tokens").alias("token")).groupBy(_slot(F.col("token")).alias("slot")).count()
+    found = counts.where("count > 1").toArrow()
+    levels = np.zeros(1 << SLOTS, dtype=np.int8)
+    levels[found["slot"].to_numpy()] = np.floor(2 * np.log2(found["count"].to_numpy()))
+    return levels
+
+
+def _level(mark: Column) -> Column:
+    return F.shiftright(mark, HASH) + 32
+
+
+def _nodes(lines: DataFrame, levels: np.ndarray, num: int, den: int, min_words: int) -> DataFrame:
+    """Lines of equal sets as one: node, n, at (the first), times, parity, place, marks.
+
+    ``marks`` are the words of the prefix that other lines may have too, rare ones first, the first at
+    ``place``; ``parity`` has a bit for each of 64 classes of words that is set if their number is odd.
+    """
+    spark = lines.sparkSession
+    name = f"levels_{uuid.uuid4().hex}"
+    table = spark.createDataFrame(pa.table({"levels": pa.array([levels], pa.list_(pa.int8()))}))
+    spark.sql(f"DECLARE VARIABLE {name} ARRAY<TINYINT>")
+    try:
+        # A variable and no subquery, which the lambda can't hold, and no list of values, which every plan would print.
+        spark.sql(f"SET VAR {name} = (SELECT levels FROM {{table}})", table=table)
+
+        def mark(token: Column) -> Column:
+            level = F.get(F.col(f"session.{name}"), _slot(token)).cast("int") - 32
+            found = F.shiftleft(level, HASH).bitwiseOR(F.shiftrightunsigned(token, 64 - HASH).cast("int"))
+            return F.coalesce(found, F.lit(0))  # never null, so that whole numbers are sorted and not objects
+
+        n = F.col("n")
+        sets = lines.where(n >= min_words).select(
+            "at", "n", "node",
+            F.expr("aggregate(tokens, 0L, (found, token) -> found ^ shiftleft(1L, cast(token & 63 as int)))").alias("parity"),
+            F.slice(F.sort_array(F.transform("tokens", mark)), 1, n - F.ceil(n * num / den).cast("int") + 1).alias("prefix"))
+        sets = sets.select("at", "n", "node", "parity", F.size("prefix").alias("length"),
+                           F.filter("prefix", lambda found: found >= (1 - 32) << HASH).alias("marks"))
+        nodes = sets.groupBy("node", "n", "parity", "length", "marks").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("times"))
+        return pinned(nodes.select("node", "n", "at", "times", "parity", (F.col("length") - F.size("marks")).alias("place"), "marks"))
+    finally:
+        spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {name}")
 
 
 def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int = 3, id_col: str = "doc_id",
@@ -49,72 +116,80 @@ def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: i
     than ``min_words`` words stay.
 
     Lines with equal sets are one node with its first place. Words are ordered from rare to
-    frequent (tiers of the most frequent words of all documents, then a hash). Nodes meet
-    on the words of their prefixes. A node is first compared with the earliest node of the
-    word and size band: of a family of many variants nearly all are settled so, by as many
-    pairs as there are rows. Nodes not yet settled are then compared with every earlier
-    node that passes the length and positional filters. Equal lines never meet in one task.
+    frequent (by the logarithm of their count in all lines, then a hash). Nodes meet on the
+    words of their prefixes and are candidates if they pass the length, positional and parity
+    filters. On a frequent word a node first meets the earliest node of the word and size
+    band: of a family of many variants nearly all are settled so, by as many pairs as there
+    are rows; nodes not yet settled then meet every earlier node. Of a node's candidates the
+    most alike is verified on whole sets first, the others if it fails. Equal lines never meet
+    in one task.
 
     Null texts have one empty line. Null identifiers come first. Repeated rows are one
     document: they lose the same lines. Other columns are ignored; an empty table gives
     no rows.
     """
-    lines = _lines(docs, id_col, text_col)
-    tiers = _tiers(lines)
-    first = F.struct("doc_id", "key", "line_no").alias("at")
-    n = F.size("tokens")
-    sets = _tokens(lines.where(F.size("words") >= min_words), tiers).select(
-        first, n.alias("n"), F.xxhash64("tokens").alias("node"),
-        F.slice("tokens", 1, n - F.ceil(n * num / den).cast("int") + 1).alias("prefix"))
-    sets = pinned(sets.where(F.col("n") >= min_words))
-    nodes = pinned(sets.groupBy("node", "n").agg(F.min(F.struct("at", "prefix")).alias("least")).select(
-        "node", "n", "least.at", "least.prefix"))
-
-    by_token = Window.partitionBy("token")
-    tokens = nodes.select("node", "n", "at", F.posexplode("prefix").alias("place", "token"))
-    tokens = tokens.withColumn("met", F.count(F.lit(1)).over(by_token)).where("met > 1").drop("met")
+    held = _held(docs, id_col, text_col)
+    lines = _placed(held)
+    nodes = _nodes(lines, _levels(held), num, den, min_words)
+    marks = nodes.select("at", "n", "parity", "place", F.posexplode("marks").alias("nth", "mark")).select(
+        "mark", "at", "n", "parity", (F.col("place") + F.col("nth")).alias("place"))
+
+    def alike(x: str, y: str) -> tuple[Column, Column]:
+        """Whether node x, met by y on a mark, may be linked to it, and in how many classes of words they differ."""
+        a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
+        # A linked pair passes on its first shared word: all that it shares stands there or later.
+        need = F.ceil(num * (a("n") + b("n")) / (num + den) - 1e-6)
+        apart = F.bit_count(a("parity").bitwiseXOR(b("parity")))
+        return ((b("at") < a("at")) & (den * F.least(a("n"), b("n")) >= num * F.greatest(a("n"), b("n")))
+                & (F.least(a("n") - a("place"), b("n") - b("place")) >= need)
+                & (apart <= a("n") + b("n") - 2 * need)), apart
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        linked, apart = alike("x", "y")
+        both = x.alias("x").join(y.alias("y"), (F.col("x.mark") == F.col("y.mark")) & linked)
+        return both.select(F.col("x.at").alias("b"), F.col("y.at").alias("a"), apart.alias("apart"))
+
+    rare = marks.where(_level(F.col("mark")) < HOT)
+    hot = marks.where(_level(F.col("mark")) >= HOT)
     step = 0.2231  # a size band spans a factor of 0.8
+    hot = hot.repartition("mark")
     for name, shift in (("one", 0.0), ("two", 0.5)):
-        band = Window.partitionBy("token", F.floor(F.ln("n") / step + shift))
-        tokens = tokens.withColumn(name, F.min(F.struct("at", "node")).over(band))
-    tokens = pinned(tokens)
-    stars = tokens.select("node", "at", F.explode(F.array("one", "two")).alias("lead")).where("node <> lead.node")
-    stars = pinned(stars.select(F.col("node").alias("b"), F.col("lead.node").alias("a")).distinct())
+        band = Window.partitionBy("mark", F.floor(F.ln("n") / step + shift))
+        hot = hot.withColumn(name, F.min(F.struct("at", "n", "parity", "place")).over(band))
+    hot = hot.select(F.struct("at", "n", "parity", "place").alias("own"), "mark", "one", "two")
+    for name in ("one", "two"):
+        linked, apart = alike("own", name)
+        hot = hot.withColumn(name, F.when(linked, F.struct(F.col(f"{name}.at").alias("a"), apart.alias("apart"))))
+    hot = pinned(hot.select("mark", "own.*", "one", "two"))
+    stars = hot.select(F.col("at").alias("b"), F.explode(F.array("one", "two")).alias("star")).where("star is not null")
+    pairs = pinned(met(rare, rare).union(stars.select("b", "star.*")).distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = pinned(nodes.join(ends, "node", "left_semi").select("node", "at.key", "at.line_no"))
-        few = wanted.count() <= BROADCAST_ROWS
-        found = lines.drop("doc_id").join(F.broadcast(wanted) if few else wanted, ["key", "line_no"])
-        held = pinned(_tokens(found.select("node", "words"), tiers))
+        ends = pinned(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct())
+        n = ends.count()
+        found = lines.select("at", "tokens").join(F.broadcast(ends) if n <= BROADCAST_ROWS else ends, "at", "left_semi")
+        sets = pinned(found, **DICTIONARY)
         # Repeated rows give the same line again.
-        held = held if held.count() == wanted.count() else pinned(held.dropDuplicates(["node"]))
-        left = held.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens"))
-        right = held.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens"))
-        both = pairs.join(left, "a").join(right, "b")
+        sets = sets if sets.count() == n else pinned(sets.dropDuplicates(["at"]), **DICTIONARY)
+        both = pairs.join(sets.select(F.col("at").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(
+            sets.select(F.col("at").alias("b"), F.col("tokens").alias("b_tokens")), "b")
         shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
         return both.where(den * shared >= num * (F.size("a_tokens") + F.size("b_tokens") - shared)).select("b").distinct()
 
-    settled = pinned(verified(stars))
-    x = tokens.join(settled.withColumnRenamed("b", "node"), "node", "left_anti").alias("x")
-    y = tokens.alias("y")
-    # A linked pair passes on its first shared word: all that it shares stands there or later.
-    need = (num * (F.col("x.n") + F.col("y.n"))) / (num + den)
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.at") < F.col("x.at"))
-                  & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
-                  & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need - 1e-6))
-    rest = pinned(rest.select(F.col("x.node").alias("b"), F.col("y.node").alias("a")).distinct().join(
-        stars, ["a", "b"], "left_anti"))
-    gone = settled.union(verified(rest)).select(F.col("b").alias("node"), F.lit(True).alias("gone"))
+    first = pinned(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("least")).select("b", "least.a"))
+    settled = pinned(verified(first))
+    rest = met(hot.join(settled.withColumnRenamed("b", "at"), "at", "left_anti"), hot).union(
+        pairs.join(settled, "b", "left_anti"))
+    rest = pinned(rest.select("b", "a").distinct().join(first, ["b", "a"], "left_anti"))
+    gone = settled.union(verified(rest)).select(F.col("b").alias("first"), F.lit(True).alias("gone"))
 
     # A line goes with its node, or if it isn't the node's first.
-    firsts = nodes.select("node", "n", F.col("at").alias("first")).join(gone, "node", "left")
-    removed = sets.select("at", "node", "n").join(firsts, ["node", "n"]).where(
+    firsts = nodes.select("node", "n", F.col("at").alias("first"), "times").join(gone, "first", "left").where(
+        "gone or times > 1")
+    removed = lines.drop("tokens").join(firsts, ["node", "n"]).where(
         F.col("gone").isNotNull() | (F.col("at") > F.col("first")))
-    removed = removed.groupBy("at.key").agg(F.sort_array(F.collect_set("at.line_no")).alias("removed"))
-    whole = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"),
-                        F.size(F.split(whole_text(text_col), "\n")).alias("n_lines"))
-    return whole.join(removed, "key", "left").select(
+    removed = removed.groupBy("key").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    return held.where("line_no = 0").select("doc_id", "key", "n_lines").join(removed, "key", "left").select(
         "doc_id", "key", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stormline.llm import common, decontaminate, ngram_join as ngram_module, toxicity as toxicity_module
+from stormline.llm import common, decontaminate, line_dedup as line_dedup_module, ngram_join as ngram_module, toxicity as toxicity_module
 from stormline.llm.line_dedup import duplicate_lines
 from stormline.llm.ngram_join import keep_one, ngram_join
 from stormline.llm.queries import op2_toxicity, vocabulary
 from stormline.llm.sharding import shard_documents
 from stormline.llm.token_counts import token_counts
 from stormline.llm.token_files import read_token_files, write_token_files
-from stormline.session import pinned
+from stormline.session import CLEANUP, pinned
 from tests.llm.fixtures import awkward, awkward_rows
 from tests.test_queries import SF_DIR
 
@@ -91,6 +93,49 @@ def test_line_dedup(spark):
     assert found == expected
 
 
+def plain_removed(docs, min_words=3):
+    """Sorted numbers of the lines to remove, by comparing every line with all before it."""
+    seen, expected = [], {}
+    for doc_id, text in docs:
+        expected[doc_id] = []
+        for no, line in enumerate(text.split("\n")):
+            own = set(re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in line)))
+            if len(own) < min_words:
+                continue
+            if any(100 * len(own & s) >= 80 * len(own | s) for s in seen):
+                expected[doc_id].append(no)
+            seen.append(own)
+    return expected
+
+
+@pytest.mark.parametrize("hot", [0, line_dedup_module.HOT])
+def test_frequent_words_give_the_same_lines(spark, monkeypatch, hot):
+    """Words of many lines, whose nodes meet their first ones before all others, marks of any kind and other letters."""
+    monkeypatch.setattr(line_dedup_module, "HOT", hot)
+    rng = random.Random(11)
+    lines = variants(8, 6, 20) + ["\u00c9t\u00e9 A b\tc\x0bd", "\u00e9t\u00e9 a B c d", "\u00c9t\u00e9  a  B c D", "x\x0c y\rz  w", "W z y x", "  ", "one two"]
+    lines += rng.sample(lines, 20)
+    rng.shuffle(lines)
+    docs = [(i, "\n".join(lines[3 * i:3 * i + 3])) for i in range(len(lines) // 3 + 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: list(r["removed"]) for r in duplicate_lines(frame).collect()}
+    assert found == plain_removed(docs)
+
+
+def test_shuffle_files_go_with_the_query_that_is_pinned(spark):
+    before = spark.conf.get(CLEANUP)
+    shuffles = lambda: {p.name for p in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+                                             .diskBlockManager().localDirs()[0].getPath()).rglob("shuffle_*.data")}
+    held = shuffles()
+    rows = pinned(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        if not (left := shuffles() - held):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(CLEANUP) == before
+    assert rows.count() == 1000
+
+
 def test_tokens_and_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
