@@ -22,6 +22,16 @@ FLATTEN: dict[str, Callable[[DataFrame], DataFrame]] = {
 OBJECTS = {"waterbodies": WATERBODY_OBJECT, "sensors": SENSOR_OBJECT, "WQ": ADVISORY_OBJECT, "CSO": ADVISORY_OBJECT}
 
 
+# A compressed file isn't split, so each holds this many polls at most.
+POLLS_A_FILE = 250_000
+
+
+def land_polls(polls: DataFrame, landing: str) -> None:
+    """Files of JSON lines as ``landed_polls`` reads them, compressed: a poll's text is many times its content."""
+    stamped = polls.select(F.date_format("poll_time_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("poll_time_utc"), "payload")
+    stamped.write.option("compression", "gzip").option("maxRecordsPerFile", POLLS_A_FILE).json(landing, ignoreNullFields=False)
+
+
 def landed_polls(spark: SparkSession, landing: str) -> DataFrame:
     """Files of JSON lines with ``poll_time_utc`` and the raw ``payload`` text."""
     return spark.readStream.schema(POLLS).json(landing)

@@ -42,6 +42,19 @@ def test_polls_land_in_monthly_logs(spark, tmp_path):
     assert log.count() == 3 and log.where("poll_month = '2024-02'").first()["rain_24h_in"] == 0.5
 
 
+def test_landed_polls_are_small_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(polls, "POLLS_A_FILE", 40)
+    body = json.dumps([{"name": "WB1", "wbid": 1, "notes": "as before " * 50}])
+    rows = [(at(i), None if i % 9 == 0 else body[:60] if i % 9 == 1 else body) for i in range(300)]
+    polls.land_polls(spark.createDataFrame(rows, "poll_time_utc timestamp, payload string").coalesce(1), str(tmp_path / "in"))
+    files = list((tmp_path / "in").glob("part-*"))
+    assert len(files) >= 7 and sum(f.stat().st_size for f in files) < sum(len(p or "") for _, p in rows) / 5
+    read = spark.read.schema(polls.POLLS).json(str(tmp_path / "in"))
+    assert sorted((r["poll_time_utc"], r["payload"] or "") for r in read.collect()) == [(t, p or "") for t, p in rows]
+    polls.append_log(polls.landed_polls(spark, str(tmp_path / "in")), "waterbodies", str(tmp_path / "log"), str(tmp_path / "s")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "log")).count() == sum(p == body for _, p in rows)
+
+
 def feed(spark, folder, schema, batches, start):
     """Each batch lands as a file of its own and is taken by a run of its own."""
     for rows in batches:
