@@ -211,6 +211,18 @@ def test_landed_files_grow_in_number_with_the_rows(spark, monkeypatch):
     assert len([p for p in done.recentProgress if p.numInputRows]) == 4
 
 
+def test_texts_are_made_where_they_land(spark):
+    rows = spark.range(400).select(F.timestamp_seconds("id").alias("t"), "id")
+    text = lambda placed: placed.select("t", F.repeat(F.lit("configuration "), 200).alias("payload"), F.spark_partition_id().alias("part"))
+    arriving, folder = A.landed(rows, "t", build=text)
+    found = spark.read.parquet(f"{folder}/in")
+    assert arriving.schema == found.schema and found.count() == 400
+    # Each text is made in the task of its file, after the rows were dealt out by time.
+    files = found.groupBy(F.input_file_name()).agg(F.countDistinct("part").alias("parts"), F.min("t"), F.max("t")).collect()
+    assert len(files) == 4 and all(r["parts"] == 1 for r in files)
+    assert found.select("part").distinct().count() == 4
+
+
 class FakeList(list):
     calls = 0
 
